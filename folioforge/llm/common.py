@@ -17,6 +17,7 @@ MOST_IDS = ID_BITS // 8
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_STEP = _BASE
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -24,11 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines share; a folder of our own only where none is set, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, so that lost executors don't cost its history."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -51,10 +58,10 @@ def chunked(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]
         yield lo, len(texts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts (lower-case A-Z, split at ASCII white space), and where each text's words begin."""
+def word_hashes(texts: list[bytes], between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts (lower-case A-Z, split at the bytes of between), and where each text's words begin."""
     buf = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
-    space = SPACE[buf]
+    space = between[buf]
     before = np.concatenate(([True], space[:-1]))
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
     offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
@@ -96,28 +103,41 @@ def encoded(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without most of the rows whose id isn't in ids (one column of longs); some others may stay.
-
-    Up to MOST_IDS ids a bitmap of fixed size is broadcast, so that texts aren't shuffled; beyond it a semi join does it.
-    """
-    spark, name = docs.sparkSession, ids.columns[0]
+def id_bits(ids: DataFrame) -> np.ndarray | None:
+    """A bitmap of ID_BITS (8 MB) that holds every id of the one long column and a few others; None beyond MOST_IDS ids."""
+    name = ids.columns[0]
     ids = ids.where(F.col(name).isNotNull())
     if ids.count() > MOST_IDS:
-        return docs.join(ids.withColumnRenamed(name, "_wanted"), F.col(id_col) == F.col("_wanted"), "left_semi")
-    slot = F.pmod(F.xxhash64(F.col(name)), F.lit(ID_BITS))
+        return None
+    slot = F.pmod(F.col(name).bitwiseXOR(F.shiftrightunsigned(F.col(name), 29)), F.lit(ID_BITS))
     rows = ids.select((slot / 64).cast("int").alias("word"), slot.bitwiseAND(63).cast("int").alias("bit"))
     rows = rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
     words = np.zeros(ID_BITS // 64, np.int64)
     words[rows["word"].to_numpy(int)] = rows["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(words)
+    return words
+
+
+def has_bit(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be in the bitmap; all that are, are."""
+    at = (ids.view(np.int64) ^ (ids.view(np.uint64) >> np.uint64(29)).view(np.int64)) & (ID_BITS - 1)
+    return (words[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without most of the rows whose id isn't in ids (one column of longs); some others may stay.
+
+    Up to MOST_IDS ids a bitmap of fixed size is broadcast, so that texts aren't shuffled; beyond it a semi join does it.
+    """
+    words = id_bits(ids)
+    if words is None:
+        return docs.join(ids.withColumnRenamed(ids.columns[0], "_wanted"), F.col(id_col) == F.col("_wanted"), "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     @F.pandas_udf("boolean")
-    def wanted(slots: pd.Series) -> pd.Series:
-        at = slots.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+    def wanted(ids: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(shared.value, ids.to_numpy(np.int64)))
 
-    return docs.where(F.col(id_col).isNotNull() & wanted(F.pmod(F.xxhash64(F.col(id_col)), F.lit(ID_BITS))))
+    return docs.where(F.col(id_col).isNotNull()).where(wanted(F.coalesce(F.col(id_col), F.lit(0))))
 
 
 def components(edges: DataFrame) -> DataFrame:
