@@ -180,7 +180,8 @@ def _listed(spans: F.Column) -> F.Column:
 def pii_digest(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and the list of all spans, for each row of docs."""
     got = find_pii(docs)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
     return got.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", "extra")).alias("spans"))
 
 

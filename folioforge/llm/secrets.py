@@ -1,0 +1,180 @@
+"""Secret scans through a trigram inverted index; DataFrame functions only.
+
+From each rule's regex a Boolean query of trigrams is derived (all trigrams of one of its mandatory strings). The index has a
+posting (trigram, doc_id) for each trigram of the queries that a text holds, in lower case. Postings that meet a rule's query make
+its candidates, whose whole texts are then scanned by the regex; rules without a mandatory string scan every text.
+
+Positions come from the pieces between matches: a match starts behind all pieces and matches before it.
+
+Defined cases: null is empty; rows without doc_id are candidates of every rule; rows that share a doc_id share its candidates and
+are scanned each; rows repeat as they come; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Rule:
+    kind: str
+    regex: str
+    group: int = 0
+    least: int = 1  # signs of that group
+
+
+#: The rules, the base kinds first, in the order of their listing.
+RULES = (
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
+    Rule("hex", r"[0-9a-f]{24,}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+)
+BASE = 3
+
+
+def mandatory(regex: str) -> list[str] | None:
+    """Strings in lower case of which every match holds at least one; None if there is no such list of strings of 3 signs or more.
+
+    A walk over the parsed pattern keeps the set of strings that may stand just before, as long as it is small; where it ends,
+    the set is a choice of mandatory strings, and the one with the longest shortest string is taken.
+    """
+    from re import _parser as parser
+
+    found: list[set[str]] = []
+
+    def walk(nodes, open_: set[str]) -> set[str]:
+        for op, arg in nodes:
+            name = str(op)
+            if name == "LITERAL":
+                own = {chr(arg).lower()}
+            elif name == "IN" and len(arg) <= 6 and all(str(o) == "LITERAL" for o, _ in arg):
+                own = {chr(c).lower() for _, c in arg}
+            elif name == "SUBPATTERN":
+                own = walk(arg[-1], {""})
+            elif name == "BRANCH":
+                own = set().union(*(walk(b, {""}) for b in arg[1]))
+            elif name == "MAX_REPEAT" and arg[:2] == (0, 1):
+                own = walk(arg[2], {""}) | {""}
+            else:
+                own = set()
+            if not own or len(open_) * len(own) > 128:
+                found.append(open_)
+                open_ = own or {""}
+            else:
+                open_ = {a + b for a in open_ for b in own}
+        return open_
+
+    found.append(walk(parser.parse(regex), {""}))
+    best = max(found, key=lambda s: min(map(len, s)))
+    return sorted(s for s in best if not any(t != s and t in s for t in best)) if min(map(len, best)) >= 3 else None
+
+
+def trigrams(s: str) -> list[str]:
+    return sorted({s[i : i + 3] for i in range(len(s) - 2)})
+
+
+def index(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Postings (trigram, doc_id) of the trigrams of the rules' queries."""
+    text = F.lower("text")
+    held = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in vocabulary]))
+    return docs.where("doc_id is not null and text is not null").select("doc_id", F.explode(held).alias("trigram")).distinct()
+
+
+def candidates(postings: DataFrame, queries: dict[str, list[str]]) -> DataFrame:
+    """(doc_id, rules): postings intersected by document; a rule holds if all trigrams of one of its strings are there."""
+    got = postings.groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
+    rules = []
+    for kind, strings in queries.items():
+        holds = [F.size(F.array_except(F.array(*map(F.lit, trigrams(s))), "held")) == 0 for s in strings]
+        either = holds[0]
+        for h in holds[1:]:
+            either |= h
+        rules.append(F.when(either, F.lit(kind)))
+    return got.select("doc_id", F.array_compact(F.array(*rules)).alias("rules")).where(F.size("rules") > 0)
+
+
+def _running(sizes: Column, block: int = 256) -> Column:
+    """Sums of an array up to each place, by blocks, so that many matches in a text cost no square."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, block))
+    before = F.transform(blocks, total)
+    inside = F.transform(blocks, lambda a, b: F.transform(a, lambda _, i: total(F.slice(before, 1, b)) + total(F.slice(a, 1, i + 1))))
+    return F.flatten(inside)
+
+
+def _spans(rule: Rule, number: int) -> Column:
+    """Matches of a rule in text as structs (start, kind, stop), failing ones dropped."""
+    pattern = F.lit(rule.regex)
+    text = F.col("text")
+    matches = F.regexp_extract_all(text, pattern, F.lit(0))
+    pieces = F.split(text, rule.regex, -1)
+    sizes = F.transform(matches, lambda m: F.length(m).cast("long"))
+    steps = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)).cast("long") + F.when(i > 0, F.get(sizes, i - 1)).otherwise(F.lit(0)))
+    starts = _running(steps)
+    judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
+    spans = F.transform(starts, lambda s, i: F.struct(s.alias("start"), F.lit(number).alias("kind"), (s + F.get(sizes, i)).alias("stop"), F.length(F.get(judged, i)).alias("own")))
+    good = F.transform(F.filter(spans, lambda s: s["own"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
+    none = F.array().cast("array<struct<start: bigint, kind: int, stop: bigint>>")
+    return F.when(text.rlike(rule.regex), good).otherwise(none)
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with _spans: an array of (start, kind number, stop) of all rules, in that order."""
+    queries = {r.kind: s for r in rules if (s := mandatory(r.regex))}
+    docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    vocabulary = sorted({t for strings in queries.values() for s in strings for t in trigrams(s)})
+    wanted = candidates(index(docs.select("doc_id", "text"), vocabulary), queries).select(F.col("doc_id").alias("_wanted"), F.col("rules").alias("_rules"))
+    near = docs.join(wanted, F.col("doc_id") == F.col("_wanted"), "left")
+    none = F.array().cast("array<struct<start: bigint, kind: int, stop: bigint>>")
+    found = []
+    for number, rule in enumerate(rules):
+        spans = _spans(rule, number)
+        if rule.kind in queries:
+            spans = F.when(F.coalesce(F.array_contains("_rules", rule.kind), F.col("doc_id").isNull()), spans).otherwise(none)
+        found.append(spans)
+    return near.withColumn("_spans", F.array_sort(F.concat(*found))).drop("_wanted", "_rules")
+
+
+def secrets_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Counts of the base kinds, the digest of the base spans and the list of all spans, for each row of docs."""
+    got = find_secrets(docs.select("doc_id", "text"), rules).select("doc_id", "_spans")
+    names = F.array(*[F.lit(r.kind) for r in rules])
+    listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["stop"])), ",")
+    base = F.filter("_spans", lambda s: s["kind"] < BASE)
+    of = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long")
+    counts = [of(k).alias(f"n_{rules[k].kind}") for k in range(BASE)]
+    return got.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same digest in DuckDB SQL, by a plain scan."""
+    parts = []
+    for number, r in enumerate(rules):
+        q = r.regex.replace("'", "''")
+        parts.append(
+            f"SELECT rid, {number} AS kind, '{r.kind}' AS name, unnest(range(1, len(m) + 1)) AS i, m, p, g FROM (SELECT rid, regexp_extract_all(text, '{q}', 0) AS m, "
+            f"regexp_split_to_array(text, '{q}') AS p, regexp_extract_all(text, '{q}', {r.group}) AS g FROM docs) WHERE len(m) > 0"
+        )
+    least = "CASE kind " + " ".join(f"WHEN {k} THEN {r.least}" for k, r in enumerate(rules)) + " END"
+    counts = ", ".join(f"coalesce(count(*) FILTER (WHERE kind = {k}), 0)::BIGINT AS n_{rules[k].kind}" for k in range(BASE))
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+hits AS ({" UNION ALL ".join(parts)}),
+spans AS (
+  SELECT rid, kind, name, length(m[i]) AS size, length(g[i]) AS own,
+    list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM hits),
+good AS (SELECT rid, kind, start::BIGINT AS start, name || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM spans WHERE own >= {least}),
+agg AS (
+  SELECT rid, {counts}, string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < {BASE}) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans
+  FROM good GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{rules[k].kind}, 0) AS n_{rules[k].kind}" for k in range(BASE))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN agg USING (rid)"""
