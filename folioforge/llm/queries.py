@@ -15,13 +15,19 @@ from folioforge.llm.ngram_join import ngram_join
 from folioforge.llm.pieces import piece_counts
 from folioforge.llm.pii import pii_digest
 from folioforge.llm.quality import quality_scores
+from folioforge.llm.repeats import repeats_digest
 from folioforge.llm.secrets import oracle_sql, secrets_digest
+from folioforge.llm.wrappers import extract
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts(table(spark, sf_dir, "documents"))
 
@@ -52,10 +62,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_html": op2_html,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op5_neighbours": op5_neighbours,
     "op6_quality": op6_quality,
+    "op7_repeats": op7_repeats,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontaminate": op9_decontaminate,
     "op10_ngram_join": op10_ngram_join,
