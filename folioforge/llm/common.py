@@ -98,6 +98,20 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
                 yield words[:0]
 
 
+def sliced(batches: Iterator[pd.DataFrame], column: str = "text", most: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """Batches cut to about so many signs of a text column, so that a task holds little at once; a longer text comes alone."""
+    for b in batches:
+        sizes = b[column].str.len().fillna(0).to_numpy(np.int64)
+        lo = size = 0
+        for i, n in enumerate(sizes):
+            if i > lo and size + n > most:
+                yield b.iloc[lo:i].reset_index(drop=True)
+                lo, size = i, 0
+            size += n
+        if lo < len(b):
+            yield b.iloc[lo:].reset_index(drop=True)
+
+
 def encoded(texts: pd.Series) -> list[bytes]:
     """UTF-8 bytes; null is empty."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]

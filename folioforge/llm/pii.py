@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import _STEP, encoded, has_bit, id_bits, settle, chunked, mix, word_hashes
+from folioforge.llm.common import _STEP, encoded, has_bit, id_bits, settle, sliced, chunked, mix, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "id")
 MIN_VALUES, MIN_SCORE, ROUNDS = 5, 0.5, 3
@@ -105,7 +105,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 text = text if isinstance(text, str) else ""
@@ -130,7 +130,7 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(id_bits(patterns))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches):
             texts, kept = encoded(b["text"]), []
             for lo, hi in chunked(texts):
                 words, first = word_hashes(texts[lo:hi])

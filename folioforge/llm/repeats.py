@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import encoded, has_bit, id_bits, mix, only_ids, settle
+from folioforge.llm.common import encoded, has_bit, id_bits, mix, only_ids, settle, sliced
 
 WINDOW, KMER = 100, 16
 BUCKET_BYTES = 3 << 20
@@ -188,7 +188,7 @@ def _profile(docs: DataFrame) -> DataFrame:
     """Rows of documents (id, whole-text hashes) and rows of anchors (hash, how often a task met it, 2 at most)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches):
             texts = encoded(b["text"])
             whole = [xxhash.xxh3_128_digest(t) for t in texts]
             yield pd.DataFrame({"id": b["id"], "n": [len(t) for t in texts], "t": whole, "h": 0, "c": 0})
@@ -205,7 +205,7 @@ def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(id_bits(repeated))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches):
             texts, ids = encoded(b["text"]), b["id"].to_numpy(np.int64)
             names = [xxhash.xxh3_128_digest(t) for t in texts]
             met: set[bytes] = set()
@@ -270,7 +270,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for i, t, own in zip(b["id"], encoded(b["text"]), b["spans"]):
                 removed, runs, kept = cut(t, own) if own is not None else (0, 0, t)
