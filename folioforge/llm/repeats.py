@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import encoded, has_bit, id_bits, mix, only_ids, settle, sliced
 
-WINDOW, KMER = 100, 16
-BUCKET_BYTES = 3 << 20
-PART = 1 << 21
+WINDOW, KMER = 100, 32
+BUCKET_BYTES = 3 << 19
+PART = 1 << 20
 _LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 22) - 1)
 
@@ -184,66 +184,79 @@ def repeated_windows(contexts: list[bytes], docs: np.ndarray, places: np.ndarray
         yield int(owner[f]), f - int(base[owner[f]]), c
 
 
-def _profile(docs: DataFrame) -> DataFrame:
-    """Rows of documents (id, whole-text hashes) and rows of anchors (hash, how often a task met it, 2 at most)."""
+def whole_hash(texts: pd.Series) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in encoded(texts)]
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """(id, n, t): bytes and hash of each whole text."""
+    t = F.pandas_udf(lambda s: pd.Series(whole_hash(s), dtype="int64"), "long")
+    return docs.select("id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), t("text").alias("t"))
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """(h): anchors that occur twice or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in sliced(batches):
-            texts = encoded(b["text"])
-            whole = [xxhash.xxh3_128_digest(t) for t in texts]
-            yield pd.DataFrame({"id": b["id"], "n": [len(t) for t in texts], "t": whole, "h": 0, "c": 0})
-            distinct = [t for t in dict(zip(whole, texts)).values() if len(t) >= WINDOW]
-            hashes = np.concatenate([np.zeros(0, np.uint64), *(h for _, h, _, _ in anchors(distinct))])
+            hashes = np.concatenate([np.zeros(0, np.uint64), *(h for _, h, _, _ in anchors(encoded(b["text"])))])
             h, c = np.unique(hashes, return_counts=True)
-            yield pd.DataFrame({"id": 0, "n": -1, "t": None, "h": h.view(np.int64), "c": np.minimum(c, 2)})
+            yield pd.DataFrame({"h": h.view(np.int64), "c": np.minimum(c, 2).astype(np.int32)})
 
-    return docs.mapInPandas(run, "id long, n long, t binary, h long, c long")
+    return docs.select("text").mapInPandas(run, "h long, c int").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
 
 
-def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The contexts of repeated anchors: their hash, place and windows; the bytes with the first of equal ones in a batch."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_bits(repeated))
+def _contexts(docs: DataFrame, kept: DataFrame, with_bytes: bool) -> DataFrame:
+    """Contexts (h anchor, c1 c2 hash, id, t, at, many) of the anchors in kept, or with their bytes those whose c1 is in kept; a few others too."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_bits(kept))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in sliced(batches):
-            texts, ids = encoded(b["text"]), b["id"].to_numpy(np.int64)
-            names = [xxhash.xxh3_128_digest(t) for t in texts]
-            met: set[bytes] = set()
+            texts, ids, names = encoded(b["text"]), b["id"].tolist(), whole_hash(b["text"])
             for number, h, first, many in anchors(texts):
-                kept = np.ones(len(h), bool) if bits.value is None else has_bit(bits.value, h)
-                rows = []
-                for i, anchor, a, m in zip(number[kept].tolist(), h[kept].view(np.int64).tolist(), first[kept].tolist(), many[kept].tolist()):
-                    own = texts[i][a : a + m + WINDOW - 1]
-                    c = xxhash.xxh3_128_digest(own)
-                    rows.append((c, anchor, int(ids[i]), names[i], a, m, None if c in met else own))
-                    met.add(c)
-                yield pd.DataFrame(rows, columns=["c", "h", "id", "t", "at", "many", "own"])
+                rows = np.arange(len(h)) if with_bytes or bits.value is None else np.flatnonzero(has_bit(bits.value, h))
+                number, h, first, many = number[rows].tolist(), h[rows].view(np.int64), first[rows].tolist(), many[rows].tolist()
+                own = [texts[i][a : a + m + WINDOW - 1] for i, a, m in zip(number, first, many)]
+                c = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, own)), np.int64).reshape(-1, 2)
+                out = pd.DataFrame({"h": h, "c1": c[:, 0], "c2": c[:, 1], "id": [ids[i] for i in number], "t": [names[i] for i in number], "at": first, "many": many})
+                if with_bytes:
+                    out["own"] = own
+                    if bits.value is not None:
+                        out = out[has_bit(bits.value, np.ascontiguousarray(c[:, 0]))]
+                yield out
 
-    got = docs.mapInPandas(run, "c binary, h long, id long, t binary, at long, many long, own binary")
-    return got if bits.value is not None else got.join(repeated, "h", "left_semi")
+    got = docs.mapInPandas(run, "h long, c1 long, c2 long, id long, t long, at long, many long" + ", own binary" * with_bytes)
+    return got.join(kept, kept.columns[0], "left_semi") if bits.value is None else got
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
     """(id, t, spans): for each document (id, whole-text hash) the windows that repeat, as (first window, number of windows)."""
-    profile = settle(_profile(docs))
-    texts = profile.where("n >= 0")
-    first = texts.groupBy("t").agg(F.min("id").alias("first"))
-    copies = texts.join(first, "t").where((F.col("id") > F.col("first")) & (F.col("n") >= WINDOW)).select("id", "t", F.lit(0).cast("long").alias("at"), (F.col("n") - WINDOW + 1).alias("many")).distinct()
-    repeated = settle(profile.where("n < 0").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"))
-    held = settle(_contexts(only_ids(docs, first.select("first"), "id"), repeated))
-    whole = settle(held.groupBy("c").agg(F.min(F.struct("id", "t", "at")).alias("first"), F.max("own").alias("own"), F.min("h").alias("h"), F.count(F.lit(1)).alias("places")))
-    later = held.join(whole.where("places > 1").select("c", "first"), "c").where(F.struct("id", "t", "at") > F.col("first")).select("id", "t", "at", "many")
-    size = whole.agg(F.coalesce(F.sum(F.length("own")), F.lit(0))).first()[0]
-    buckets = max(1, -(-int(size) // BUCKET_BYTES))
+    place = F.struct("id", "t", "at")
+    texts = settle(_documents(docs))
+    first = settle(texts.groupBy("t", "n").agg(F.min("id").alias("first")))
+    copies = texts.join(first, ["t", "n"]).where((F.col("id") > F.col("first")) & (F.col("n") >= WINDOW)).select("id", "t", F.lit(0).cast("long").alias("at"), (F.col("n") - WINDOW + 1).alias("many")).distinct()
+    leading = only_ids(docs, first.select("first"), "id")
+    repeated = settle(_repeated(leading))
+    held = settle(_contexts(leading, repeated, False))
+    whole = settle(held.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.min("h").alias("h"), F.count(F.lit(1)).alias("places")))
+    later = held.join(whole.where("places > 1").select("c1", "c2", "first"), ["c1", "c2"]).where(place > F.col("first")).select("id", "t", "at", "many")
+    # Only anchors with several contexts can share a window between unlike contexts.
+    several = whole.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("h")
+    wanted = settle(whole.join(several, "h").select("h", "c1", "c2", "first.id", "first.t", "first.at"))
+    size = wanted.count() * 2 * WINDOW
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    source = only_ids(docs, wanted.select("id").distinct(), "id")
+    indexed = _contexts(source, wanted.select("c1"), True).join(wanted.drop("h"), ["c1", "c2", "id", "t", "at"], "left_semi")
+    # rows that repeat a document repeat its contexts
+    indexed = indexed.dropDuplicates(["c1", "c2"]).select("id", "t", "at", "own", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"))
 
     def find(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["id", "t", "at"], ignore_index=True)
-        docs = pd.factorize(pd.Series(list(zip(own["id"], own["t"]))))[0].astype(np.int64)
+        docs = own.groupby(["id", "t"], sort=False).ngroup().to_numpy(np.int64)
         rows = [(own["id"].iat[k], own["t"].iat[k], own["at"].iat[k] + w, m) for k, w, m in repeated_windows(own["own"].tolist(), docs, own["at"].to_numpy(np.int64))]
         return pd.DataFrame(rows, columns=["id", "t", "at", "many"])
 
-    indexed = whole.select("first.id", "first.t", "first.at", "own", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"))
-    earlier = indexed.groupBy("bucket").applyInPandas(find, "id long, t binary, at long, many long")
+    earlier = indexed.groupBy("bucket").applyInPandas(find, "id long, t long, at long, many long")
     spans = copies.union(later).union(earlier)
     return spans.groupBy("id", "t").agg(F.collect_list(F.struct("at", "many")).alias("spans"))
 
@@ -277,7 +290,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((None if i == _LAST else i, len(t), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
-    hash_ = F.pandas_udf(lambda s: pd.Series([xxhash.xxh3_128_digest(t) for t in encoded(s)]), "binary")
+    hash_ = F.pandas_udf(lambda s: pd.Series(whole_hash(s), dtype="int64"), "long")
     bits = id_bits(spans.select("id").distinct())
     if bits is None:
         near, far = docs, None
