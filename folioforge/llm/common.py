@@ -46,7 +46,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def chunked(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def chunked(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about so many bytes together; a longer text is a range of its own."""
     lo = size = 0
     for i, t in enumerate(texts):

@@ -16,7 +16,7 @@ from folioforge.llm.pieces import piece_counts
 from folioforge.llm.pii import pii_digest
 from folioforge.llm.quality import quality_scores
 from folioforge.llm.repeats import repeats_digest
-from folioforge.llm.secrets import oracle_sql, secrets_digest
+from folioforge.llm.secret_scan import oracle_sql, secrets_digest
 from folioforge.llm.wrappers import extract
 
 
