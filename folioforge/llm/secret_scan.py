@@ -101,27 +101,39 @@ def candidates(postings: DataFrame, queries: dict[str, list[str]]) -> DataFrame:
     return got.select("doc_id", F.array_compact(F.array(*rules)).alias("rules")).where(F.size("rules") > 0)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), value computed once for each row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 def _running(sizes: Column, block: int = 256) -> Column:
     """Sums of an array up to each place, by blocks, so that many matches in a text cost no square."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, block))
-    before = F.transform(blocks, total)
-    inside = F.transform(blocks, lambda a, b: F.transform(a, lambda _, i: total(F.slice(before, 1, b)) + total(F.slice(a, 1, i + 1))))
-    return F.flatten(inside)
+
+    def sums(blocks: Column, before: Column) -> Column:
+        inside = lambda a, b: _let(_total(F.slice(before, 1, b)), lambda base: F.transform(a, lambda _, i: base + _total(F.slice(a, 1, i + 1))))
+        return F.flatten(F.transform(blocks, inside))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, block))
+    return _let(cut, lambda blocks: _let(F.transform(blocks, _total), lambda before: sums(blocks, before)))
 
 
 def _spans(rule: Rule, number: int) -> Column:
     """Matches of a rule in text as structs (start, kind, stop), failing ones dropped."""
-    pattern = F.lit(rule.regex)
-    text = F.col("text")
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, rule.regex, -1)
-    sizes = F.transform(matches, lambda m: F.length(m).cast("long"))
-    steps = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)).cast("long") + F.when(i > 0, F.get(sizes, i - 1)).otherwise(F.lit(0)))
-    starts = _running(steps)
-    judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
-    spans = F.transform(starts, lambda s, i: F.struct(s.alias("start"), F.lit(number).alias("kind"), (s + F.get(sizes, i)).alias("stop"), F.length(F.get(judged, i)).alias("own")))
-    good = F.transform(F.filter(spans, lambda s: s["own"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
+    text, pattern = F.col("text"), F.lit(rule.regex)
+
+    def placed(matches: Column, pieces: Column, judged: Column) -> Column:
+        size = lambda i: F.length(F.get(matches, i)).cast("long")
+        steps = F.transform(matches, lambda _, i: F.length(F.get(pieces, i)).cast("long") + F.when(i > 0, size(i - 1)).otherwise(F.lit(0)))
+        spans = lambda starts: F.transform(starts, lambda s, i: F.struct(s.alias("start"), F.lit(number).alias("kind"), (s + size(i)).alias("stop"), F.length(F.get(judged, i)).alias("own")))
+        got = _let(steps, lambda sizes: _let(_running(sizes), spans))
+        return F.transform(F.filter(got, lambda s: s["own"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
+
+    own = lambda m: F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else m
+    good = _let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: _let(F.split(text, rule.regex, -1), lambda p: _let(own(m), lambda g: placed(m, p, g))))
     none = F.array().cast("array<struct<start: bigint, kind: int, stop: bigint>>")
     return F.when(text.rlike(rule.regex), good).otherwise(none)
 
