@@ -23,10 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import chunked, encoded
+from folioforge.llm.common import chunked, encoded, settle
 
 ORDER = 3
 TRAIN_BYTES = 4 << 20
+#: Rows of the table of languages that may be broadcast.
+MOST_LANGUAGES = 10_000
 _LETTER = re.compile(r"[^\W\d_]")
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,8 +153,9 @@ def train_trees(docs: DataFrame, order: int = ORDER) -> Trees | None:
     """Count the contexts of docs (doc_id, text, lang) that may be learned from."""
     rows = docs.where("doc_id is not null and text is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    # One row for each language, so small: it says which share of its rows is taken.
-    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(TRAIN_BYTES)) / F.greatest("bytes", F.lit(1))).alias("share"))
+    # A row for each language says which share of its rows is taken; broadcast if they are as few as languages are, so that no text moves.
+    share = settle(sizes.select("lang", F.least(F.lit(1.0), F.lit(float(TRAIN_BYTES)) / F.greatest("bytes", F.lit(1))).alias("share")))
+    share = F.broadcast(share) if share.count() <= MOST_LANGUAGES else share
     taken = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.ceil(F.col("share") * 1_000_000))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
