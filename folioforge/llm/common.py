@@ -125,7 +125,7 @@ def id_bits(ids: DataFrame) -> np.ndarray | None:
         return None
     slot = F.pmod(F.col(name).bitwiseXOR(F.shiftrightunsigned(F.col(name), 29)), F.lit(ID_BITS))
     rows = ids.select((slot / 64).cast("int").alias("word"), slot.bitwiseAND(63).cast("int").alias("bit"))
-    rows = rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
+    rows = rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow().to_pandas()
     words = np.zeros(ID_BITS // 64, np.int64)
     words[rows["word"].to_numpy(int)] = rows["bits"].to_numpy(np.int64)
     return words

@@ -176,7 +176,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.25) -> DataFr
     blocks = max(1, -(-int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // ITEM_BYTES))
     out = None
     for block in range(blocks):
-        got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toPandas().sort_values(["item_id", "text"])
+        got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow().to_pandas().sort_values(["item_id", "text"])
         shared = spark.sparkContext.broadcast(Items(got["item_id"].tolist(), normal(got["text"]), edits))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:

@@ -166,7 +166,7 @@ def train_trees(docs: DataFrame, order: int = ORDER) -> Trees | None:
                     gram, c = np.unique(grams(texts[lo:hi], order)[0], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "c": c})
 
-    counts = taken.select("lang", "text").mapInPandas(run, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")).toPandas()
+    counts = taken.select("lang", "text").mapInPandas(run, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")).toArrow().to_pandas()
     return Trees(counts.sort_values(["lang", "gram"], ignore_index=True), order) if len(counts) else None
 
 

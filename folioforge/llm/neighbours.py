@@ -125,9 +125,9 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, deep: int = DEEP
     if not total:
         return rows.sparkSession.createDataFrame([], schema)
     share = min(1.0, TRAIN_ROWS / total)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy("vec_id").select("v").toPandas()
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy("vec_id").select("v").toArrow().to_pandas()
     if not len(sample):
-        sample = rows.limit(CENTRES).select("v").toPandas()
+        sample = rows.limit(CENTRES).select("v").toArrow().to_pandas()
     book = rows.sparkSession.sparkContext.broadcast(Codebook(unit(np.array(sample["v"].tolist()))))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

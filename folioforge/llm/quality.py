@@ -114,7 +114,7 @@ def train_ranker(docs: DataFrame, labels: DataFrame, train: F.Column) -> Ranker
 
     # At most about MOST_LABELLED rows of two numbers: broadcast, so that texts stay where they are.
     near = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
-    got = near.mapInPandas(count, "id long, label int, x array<double>").toPandas().sort_values("id", ignore_index=True)
+    got = near.mapInPandas(count, "id long, label int, x array<double>").toArrow().to_pandas().sort_values("id", ignore_index=True)
     if got["label"].nunique() < 2:
         return None
     return fit_pairs(np.array(got["x"].tolist()), got["label"].to_numpy())
