@@ -207,22 +207,20 @@ def _repeated(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, kept: DataFrame, with_bytes: bool) -> DataFrame:
-    """Contexts (h anchor, c1 c2 hash, id, t, at, many) of the anchors in kept, or with their bytes those whose c1 is in kept; a few others too."""
+    """Contexts (h anchor, c1 c2 hash, id, t, at, many) of the anchors in kept and a few others, with their bytes if wished."""
     bits = docs.sparkSession.sparkContext.broadcast(id_bits(kept))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in sliced(batches):
             texts, ids, names = encoded(b["text"]), b["id"].tolist(), whole_hash(b["text"])
             for number, h, first, many in anchors(texts):
-                rows = np.arange(len(h)) if with_bytes or bits.value is None else np.flatnonzero(has_bit(bits.value, h))
+                rows = np.arange(len(h)) if bits.value is None else np.flatnonzero(has_bit(bits.value, h))
                 number, h, first, many = number[rows].tolist(), h[rows].view(np.int64), first[rows].tolist(), many[rows].tolist()
                 own = [texts[i][a : a + m + WINDOW - 1] for i, a, m in zip(number, first, many)]
                 c = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, own)), np.int64).reshape(-1, 2)
                 out = pd.DataFrame({"h": h, "c1": c[:, 0], "c2": c[:, 1], "id": [ids[i] for i in number], "t": [names[i] for i in number], "at": first, "many": many})
                 if with_bytes:
                     out["own"] = own
-                    if bits.value is not None:
-                        out = out[has_bit(bits.value, np.ascontiguousarray(c[:, 0]))]
                 yield out
 
     got = docs.mapInPandas(run, "h long, c1 long, c2 long, id long, t long, at long, many long" + ", own binary" * with_bytes)
@@ -242,11 +240,12 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     later = held.join(whole.where("places > 1").select("c1", "c2", "first"), ["c1", "c2"]).where(place > F.col("first")).select("id", "t", "at", "many")
     # Only anchors with several contexts can share a window between unlike contexts.
     several = whole.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("h")
+    several = settle(several)
     wanted = settle(whole.join(several, "h").select("h", "c1", "c2", "first.id", "first.t", "first.at"))
     size = wanted.count() * 2 * WINDOW
     buckets = max(1, -(-size // BUCKET_BYTES))
     source = only_ids(docs, wanted.select("id").distinct(), "id")
-    indexed = _contexts(source, wanted.select("c1"), True).join(wanted.drop("h"), ["c1", "c2", "id", "t", "at"], "left_semi")
+    indexed = _contexts(source, several, True).join(wanted.drop("h"), ["c1", "c2", "id", "t", "at"], "left_semi")
     # rows that repeat a document repeat its contexts
     indexed = indexed.dropDuplicates(["c1", "c2"]).select("id", "t", "at", "own", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"))
 
