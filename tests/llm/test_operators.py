@@ -328,11 +328,11 @@ def test_wrappers_main_text(spark):
         return f"<html><head><title>t</title><style>p{{}}</style><script>var a='<p>no</p>'</script></head><body><header>Site</header><nav><a href='/'>Home</a></nav><!-- x -->{body}<div class='comments'><p>reader {k}</p></div><footer>&copy; all</footer>"
 
     rows = [(k, f"http://a.org/{k}", page(k, f"<article><h1>Head {k}</h1><p>One &amp;  <b>two</b>\n three<p>Four<br>five</article><aside>side</aside>")) for k in range(6)]
-    rows += [(10 + k, f"http://b.org/{k}", page(k, f"<div class='box'><p>Same</p></div><div class='text'><p>Own {k}</p><ul><li>a<li>b</ul></div>")) for k in range(6)]
+    rows += [(10 + k, f"http://b.org/{k}", page(k, f"<div class='box'><p>Same</p></div><div class='text'><p>Own {k}</p><ul><li>a{k}<li>b</ul></div>")) for k in range(6)]
     rows += [(20, None, None), (21, "x", ""), (22, "http://a.org/9", "<p>broken <b>text"), (23, "http://c.org", "plain")]
     got = {r["page_id"]: r for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3]["text"] == "Head 3\nOne & two three\nFour five"
-    assert got[12]["text"] == "Own 2\na\nb"
+    assert got[12]["text"] == "Own 2\na2\nb"
     assert [got[k]["text"] for k in (20, 21, 22, 23)] == ["", "", "broken text", "plain"]
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
