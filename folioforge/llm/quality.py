@@ -91,7 +91,7 @@ def fit_pairs(x: np.ndarray, label: np.ndarray, seed: int = 7, ridge: float = 1e
         step = np.linalg.solve(hessian, gradient)
         w += step / max(1.0, np.abs(step).max())
     s = z @ w
-    threshold = float(np.quantile(s, (label == 0).mean()))
+    threshold = float(np.quantile(s, (label == 0).mean(), method="midpoint"))  # halfway between the neighbours, not closer to one class
     spread = max(1e-6, float(s[good].mean() - s[bad].mean()))
     return Ranker(mean, scale, w, threshold, 6.0 / spread)
 
