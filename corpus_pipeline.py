@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import decontaminate, ngram_join, pieces, pii, quality
-from folioforge.llm.common import shared_folder, table
+from folioforge.llm.common import row_key, settle, shared_folder, table
 
 
 def accepted_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +18,21 @@ def accepted_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of documents that link (five words, similarity 0.8), the one with the smallest doc_id stays."""
-    kept = ngram_join.ngram_join(docs, size=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """Operator 10: of documents that link (five words, similarity 0.8), the one with the smallest doc_id stays, ids before none.
+
+    Rows are nodes by id and text: each text of a shared id links on its own, and so do texts without an id. Rows equal in both are
+    one node, of which one row stays.
+    """
+    keyed = docs.withColumn("_key", row_key())
+    nodes = ngram_join.ngram_join(keyed.select(F.col("_key").alias("doc_id"), "text"), size=5, percent=80).groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_group"), F.count(F.lit(1)).alias("_rows"))
+    ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "_rows")).alias("first")
+    kept = settle(nodes.join(ids, "_key").groupBy("_group").agg(first).select("first._key", "first._rows"))
+    one = keyed.join(kept, "_key")
+    if not kept.where("_rows > 1").isEmpty():
+        several = one.where("_rows > 1").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+        return one.where("_rows = 1").select(*docs.columns).unionByName(several)
+    return one.select(*docs.columns)
 
 
 def free_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,6 +137,12 @@ def has_bit(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (words[at >> 6] >> (at & 63)) & 1 == 1
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> F.Column:
+    """A hash of id and text, never null: rows without an id have one too, and so does each text of a shared id."""
+    own, words = F.col(doc_id), F.col(text).cast("string")
+    return F.xxhash64(own.isNull(), F.coalesce(own.cast("long"), F.lit(0)), words.isNull(), F.coalesce(words, F.lit("")))
+
+
 def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without most of the rows whose id isn't in ids (one column of longs); some others may stay.
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import chunked, mix, word_hashes
+from folioforge.llm.common import chunked, mix, row_key, word_hashes
 
 WALKS, TABLES, DRAWS = 4, 16, 2
 #: Bytes of items that are broadcast at once.
@@ -194,6 +194,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.25) -> DataFr
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.25) -> DataFrame:
-    """docs that leak no item, their columns kept."""
-    leaked = find_leaks(docs, items, edits).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    """docs that leak no item, their columns kept; rows are judged by id and text, those without an id as well."""
+    keyed = docs.withColumn("_key", row_key())
+    leaked = find_leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), items, edits).select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(leaked, "_key", "left_anti").select(*docs.columns)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import _STEP, encoded, has_bit, id_bits, settle, sliced, chunked, mix, word_hashes
+from folioforge.llm.common import _STEP, encoded, has_bit, id_bits, row_key, settle, sliced, chunked, mix, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "id")
 MIN_VALUES, MIN_SCORE, ROUNDS = 5, 0.5, 3
@@ -186,9 +186,10 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of text replaced by its kind in brackets; n_chars, where docs has it, follows."""
-    extra = find_pii(docs).where(F.size("extra") > 0).select(F.col("doc_id").alias("_id"), "extra")
-    extra = settle(extra.where("_id is not null").groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_set("extra"))).alias("_extra")))
+    """docs with each span of text replaced by its kind in brackets, in rows without an id as well; n_chars, where docs has it, follows."""
+    keyed = docs.withColumn("_key", row_key())
+    extra = find_pii(keyed.select(F.col("_key").alias("doc_id"), "text")).where(F.size("extra") > 0).select(F.col("doc_id").alias("_key"), "extra")
+    extra = settle(extra.groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_set("extra"))).alias("_extra")))
 
     def clean(text: str | None, more) -> str | None:
         if text is None:
@@ -214,6 +215,6 @@ def redact(docs: DataFrame) -> DataFrame:
     if extra.isEmpty():
         out = docs.withColumn("text", cleaned("text"))
     else:
-        near = docs.join(extra, F.col("doc_id") == F.col("_id"), "left")
+        near = keyed.join(extra, "_key", "left")
         out = near.withColumn("text", cleaned_of("text", "_extra")).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

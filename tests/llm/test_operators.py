@@ -357,3 +357,21 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     good = {k for k in range(120) if k % 4}
     assert good <= set(got) and not {200, 201} & set(got) and 202 in got and all(r["round_trip"] for r in got.values())
     assert len(set(got) - good - {202}) <= 2
+
+
+def test_stages_keep_rows_without_id_and_of_shared_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    # b without an id; a row thrice; 5 stands on c and on a copy of a.
+    texts = [(1, a), (None, b), (None, b), (3, d), (3, d), (3, d), (5, c), (5, a), (None, d), (8, None), (None, "")]
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in corpus_pipeline.one_of_each_group(spark, frame(spark, texts), "").where("text <> ''").collect())
+    assert got == sorted([(1, a), (0, b), (3, d), (5, c)])
+    assert corpus_pipeline.one_of_each_group(spark, frame(spark, texts), "").where("text is null or text = ''").count() == 2
+    items = spark.createDataFrame([(1, " ".join(b.split()[10:40]))], "item_id long, text string")
+    left = decontaminate.without_leaks(frame(spark, [(None, b), (None, a), (2, b), (2, c), (2, c), (None, None)]), items).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted([(0, a), (2, c), (2, c), (0, "")])
+    known = [(k, f"{words(rng, 5)} customer-ref: 10.{k}.3.4 {words(rng, 3)}") for k in range(12)]
+    clean = pii.redact(frame(spark, known + [(None, "x customer-ref: AB-99812-X here"), (70, "code AB-99812-X"), (70, "clean text of the same id"), (None, "mail a.b@c.org")])).collect()
+    assert {(r["doc_id"], r["text"]) for r in clean if r["doc_id"] in (None, 70)} == {(None, "x customer-ref: [ID] here"), (70, "code [ID]"), (70, "clean text of the same id"), (None, "mail [EMAIL]")}
