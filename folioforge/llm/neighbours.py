@@ -13,7 +13,8 @@ is 1.0 on the given tables.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or differ from the most common length (the
 shortest of equally common ones) take no part, nor do rows without an id; a repeated id stands for several candidates but never finds
-itself; with fewer candidates than k all are returned; other columns are ignored.
+itself; a query row that repeats is asked once and each of its rows gets the whole answer, so does each vector of a shared query id;
+with fewer candidates than k all are returned; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,9 +141,11 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, deep: int = DEEP
                 yield pd.DataFrame({"ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "codes": [codes.tobytes()]})
 
     packed = settle(rows.mapInPandas(blocks, "ids binary, x binary, codes binary"))
-    asked = rows.where(is_query)
+    every = rows.where(is_query).withColumn("h", F.xxhash64("vec_id", "v"))
+    asked = settle(every.groupBy("vec_id", "h").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("times")))
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
+    repeated = asked.where("times > 1")
+    asked = asked.groupBy(F.pmod("h", F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("vec_id", "h", "v")).alias("queries"))
     met = packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>"))).join(asked, "g")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,20 +153,23 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, deep: int = DEEP
             for ids, x, codes, queries in zip(b["ids"], b["x"], b["codes"], b["queries"]):
                 ids = np.frombuffer(ids, np.int64)
                 x, codes = np.frombuffer(x, np.float64).reshape(len(ids), -1), np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
-                names = np.array([q["vec_id"] for q in queries], np.int64)
+                names, hashes = np.array([q["vec_id"] for q in queries], np.int64), np.array([q["h"] for q in queries], np.int64)
                 y = np.array([np.asarray(q["v"], np.float64) for q in queries])
                 out = []
                 for lo in range(0, len(names), 256):
-                    out += _best(book.value, ids, x, codes, names[lo : lo + 256], y[lo : lo + 256], k, deep)
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    out += [(int(names[lo + q]), int(hashes[lo + q]), i, score) for q, i, score in _best(book.value, ids, x, codes, names[lo : lo + 256], y[lo : lo + 256], k, deep)]
+                yield pd.DataFrame(out, columns=["query_id", "h", "vec_id", "score"])
 
-    found = met.mapInPandas(scan, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = met.mapInPandas(scan, "query_id long, h long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if not repeated.isEmpty():
+        found = every.select(F.col("vec_id").alias("query_id"), "h").join(found, ["query_id", "h"])
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def _best(book: Codebook, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, names: np.ndarray, y: np.ndarray, k: int, deep: int) -> list[tuple[int, int, float]]:
-    """The k best rows of a block (ids rising) for each query: table sums choose deep of them, the exact cosine decides."""
+    """(place of the query, id, score) of the k best rows of a block (ids rising) for each query: table sums choose deep of them, the exact cosine decides."""
     tables = book.tables(unit(y))
     sums = np.zeros((len(ids), len(names)), np.float32)
     for m in range(tables.shape[0]):
@@ -178,5 +184,5 @@ def _best(book: Codebook, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, nam
         own = own[ids[own] != names[q]]
         score = (x[own] * y[q]).sum(1) / (length[own] * np.sqrt((y[q] * y[q]).sum()))
         for j in np.lexsort((ids[own], -score))[:k]:
-            out.append((int(names[q]), int(ids[own[j]]), float(score[j])))
+            out.append((q, int(ids[own[j]]), float(score[j])))
     return out

@@ -5,7 +5,7 @@ learned from preference pairs (a document labelled 1 is preferred to one labelle
 The threshold is the quantile of the training scores at the share of label 0; a logistic map puts it at 0.5.
 
 Defined cases: a null or empty text has all-zero counts and still gets a score; labels that are null are dropped, several labels
-of a document count by their mean; without labels of both kinds every document scores 0.5 (accepted); rows repeat as they come; other
+of a document count by their mean, and so do the counts of rows that share a labelled id; without labels of both kinds every document scores 0.5 (accepted); rows repeat as they come; other
 columns are ignored.
 """
 
@@ -105,7 +105,7 @@ def labelled(labels: DataFrame, train: F.Column) -> DataFrame:
 
 
 def train_ranker(docs: DataFrame, labels: DataFrame, train: F.Column) -> Ranker | None:
-    """Fit on the bounded sample; its features are counted by Spark where the texts are."""
+    """Fit on the bounded sample; its features are counted by Spark where the texts are, the mean of an id's rows for each id."""
     sample = labelled(labels, train).withColumnRenamed("doc_id", "_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,7 +114,9 @@ def train_ranker(docs: DataFrame, labels: DataFrame, train: F.Column) -> Ranker
 
     # At most about MOST_LABELLED rows of two numbers: broadcast, so that texts stay where they are.
     near = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
-    got = near.mapInPandas(count, "id long, label int, x array<double>").toArrow().to_pandas().sort_values("id", ignore_index=True)
+    size = len(features(b""))
+    rows = near.mapInPandas(count, "id long, label int, x array<double>").groupBy("id").agg(F.first("label").alias("label"), *[F.avg(F.col("x")[k]).alias(f"x{k}") for k in range(size)])
+    got = rows.select("id", "label", F.array(*[f"x{k}" for k in range(size)]).alias("x")).toArrow().to_pandas().sort_values("id", ignore_index=True)
     if got["label"].nunique() < 2:
         return None
     return fit_pairs(np.array(got["x"].tolist()), got["label"].to_numpy())

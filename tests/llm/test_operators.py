@@ -312,6 +312,36 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.nearest(spark.createDataFrame(rows[900:903], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_queries(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8))
+    rows = [(k, x[k].tolist()) for k in range(60)] + [(50, x[50].tolist())] * 4 + [(0, x[7].tolist())]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    every = np.vstack([u, [u[50]] * 4, u[7:8]])
+    names = np.array([r[0] for r in rows])
+    for q, y, times in ((50, u[50], 5), (0, u[0], 1), (0, u[7], 1)):
+        s = np.where(names == q, -9, every @ y)
+        best = names[np.lexsort((names, -np.round(s, 12)))[:5]]
+        own = [g.sort_values("rank")["vec_id"].tolist() for _, g in got[got.query_id == q].groupby(got.groupby(["query_id", "rank", "vec_id"]).cumcount())] if q else None
+        assert own is None or (own == [best.tolist()] * times)
+        assert set(best) <= set(got[got.query_id == q]["vec_id"])
+    assert len(got) == 5 * 5 + 2 * 5 and sorted(got[got.query_id == 0]["rank"]) == sorted([1, 2, 3, 4, 5] * 2)
+
+
+def test_quality_takes_one_row_of_each_labelled_id(spark, monkeypatch):
+    rng = random.Random(17)
+    texts = [(k, words(rng, 30) if k % 2 else "###! " * 20) for k in range(20)] + [(3, words(rng, 30)) for _ in range(500)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    seen, fit = [], quality.fit_pairs
+    monkeypatch.setattr(quality, "fit_pairs", lambda x, label: seen.append((x, label)) or fit(x, label))
+    quality.train_ranker(frame(spark, texts), labels, F.lit(True))
+    x, label = seen[0]
+    assert len(x) == 20 and label.tolist() == [k % 2 for k in range(20)]
+    assert x[3] == pytest.approx(np.mean([quality.features(t.encode()) for i, t in texts if i == 3], axis=0))
+    assert x[4] == pytest.approx(quality.features(texts[4][1].encode()))
+
+
 def test_quality_ranks_held_out(spark):
     rng = random.Random(7)
     texts = [(k, words(rng, 60) if k % 4 else "###! " * 30 + words(rng, 20)) for k in range(200)]
