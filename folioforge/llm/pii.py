@@ -1,10 +1,12 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers that they don't know.
 
-The base spans (e-mail, IP, card, phone) are the seeds. The words before a seed make lexical patterns: the last word, and the last
-two. Spark counts how often each such pattern occurs in the whole corpus, before anything, and scores the graph of patterns and
-instances (values) in rounds: a pattern's score is the weight of known values among all its occurrences, and a value that isn't a
-seed gets the best score of its accepted patterns, which raises further patterns. A pattern is accepted with MIN_VALUES different
-known values and a score of MIN_SCORE; values of accepted patterns are identifiers wherever they occur as whole tokens.
+The base spans (e-mail, IP, card, phone) are the seeds. The words before an instance make lexical patterns: the last word, and the
+last two. Spark scores the graph of patterns and instances (values) in rounds: a pattern's score is the weight of known values among
+all its occurrences before anything in the whole corpus, and a value that isn't a seed gets the best score of its accepted patterns,
+which raises further patterns, also those that no seed stands behind. A pattern is accepted with MIN_VALUES different known values
+and a score of MIN_SCORE; values of accepted patterns are identifiers wherever they occur as whole tokens. Scores only rise; rounds
+go on until no new pattern is accepted and the accepted scores together rise by no more than SETTLED. In each round, occurrences are
+counted for the patterns that known values newly reach, but for those whose instances alone already press the score below MIN_SCORE.
 
 Instances are tokens with a digit, of 5 to 64 signs without the punctuation around them, that overlap no base span.
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import _STEP, encoded, has_bit, id_bits, row_key, settle, sliced, chunked, mix, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "id")
-MIN_VALUES, MIN_SCORE, ROUNDS = 5, 0.5, 3
+MIN_VALUES, MIN_SCORE, SETTLED = 5, 0.5, 0.001
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -154,20 +156,30 @@ def find_pii(docs: DataFrame) -> DataFrame:
     found = rows.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
     edges = found.select("value", "seed", F.explode(F.array("one", "two")).alias("pattern")).where("pattern is not null")
     edges = settle(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("c")))
-    widely = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.max("seed").alias("seeded")).where((F.col("values") >= MIN_VALUES) & F.col("seeded")).select("pattern")
+    widely = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("c").alias("held")).where(F.col("values") >= MIN_VALUES).select("pattern", "held")
+    edges = settle(edges.join(widely, "pattern"))
     nothing = F.array().cast("array<struct<kind:int,start:bigint,stop:bigint>>")
-    if widely.isEmpty():
+    known = seeds = settle(edges.where("seed").select("value").distinct().withColumn("score", F.lit(1.0)))
+    totals, before = None, (0, 0.0)
+    while True:
+        scored = edges.join(known, "value").groupBy("pattern").agg(F.sum(F.col("c") * F.col("score")).alias("hit"), F.first("held").alias("held"), F.sum((F.col("score") >= MIN_SCORE).cast("long")).alias("values"))
+        scored = settle(scored.where((F.col("values") >= MIN_VALUES) & (F.col("hit") >= MIN_SCORE * F.col("held"))).select("pattern", "hit", "held"))
+        new = scored.select("pattern") if totals is None else settle(scored.select("pattern").join(totals, "pattern", "left_anti"))
+        if not new.isEmpty():
+            counted = new.join(_occurrences(docs, new), "pattern", "left").select("pattern", F.coalesce("total", F.lit(0)).alias("total"))
+            totals = settle(counted if totals is None else totals.union(counted))
+        if totals is None:
+            break
+        accepted = scored.join(totals, "pattern").select("pattern", (F.col("hit") / F.greatest("total", "held")).alias("p")).where(F.col("p") >= MIN_SCORE)
+        accepted = settle(accepted)
+        now = tuple(accepted.agg(F.count(F.lit(1)), F.coalesce(F.sum("p"), F.lit(0.0))).first())
+        reached = edges.join(accepted, "pattern").groupBy("value").agg(F.max("p").alias("score"))
+        known = settle(seeds.union(reached.select("value", "score")).groupBy("value").agg(F.max("score").alias("score")))
+        if now[0] <= before[0] and now[1] - before[1] <= SETTLED:
+            break
+        before = now
+    if not before[0]:
         return rows.select("uid", "doc_id", "base", nothing.alias("extra"))
-    totals = settle(_occurrences(docs, widely))
-    edges = settle(edges.join(totals, "pattern"))
-    known = edges.where("seed").select("value").distinct().withColumn("score", F.lit(1.0))
-    for _ in range(ROUNDS):
-        scored = edges.join(known, "value", "left").groupBy("pattern").agg(
-            (F.sum(F.col("c") * F.coalesce("score", F.lit(0.0))) / F.greatest(F.first("total"), F.sum("c"))).alias("p"), F.sum((F.col("score") >= MIN_SCORE).cast("long")).alias("values")
-        )
-        accepted = scored.where((F.col("values") >= MIN_VALUES) & (F.col("p") >= MIN_SCORE)).select("pattern", "p")
-        reached = edges.join(accepted, "pattern").groupBy("value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("p"))).alias("score"))
-        known = settle(edges.where("seed").select("value", F.lit(1.0).alias("score")).union(reached).groupBy("value").agg(F.max("score").alias("score")))
     added = found.where("not seed").join(known.where(F.col("score") >= MIN_SCORE), "value", "left_semi")
     added = added.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "stop"))).alias("extra"))
     return rows.join(added, "uid", "left").select("uid", "doc_id", "base", F.coalesce("extra", nothing).alias("extra"))

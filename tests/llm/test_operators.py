@@ -187,6 +187,20 @@ def test_pii_base_and_contexts(spark):
     assert "[ID]" in clean[60] and "[ID]" in clean[61] and "12345" in clean[61] and clean[100] is None
 
 
+def test_pii_contexts_of_discovered_values_alone(spark):
+    rng = random.Random(19)
+    codes = [[f"{step}-{k}8{k}71" for k in range(5)] for step in ("AB", "CD", "EF", "GH", "IJ")]
+    leads = ["customer-ref:", "ticket=", "booking/", "parcel#", "voucher@"]
+    texts = [f"{words(rng, 5)} {leads[0]} 10.{k}.3.4 {words(rng, 3)}" for k in range(30)]
+    for step, (own, lead) in enumerate(zip(codes, leads)):  # each context holds the values of the one before, often, and new ones
+        texts += [f"{words(rng, 5)} {lead} {v} {words(rng, 3)}" for v in own + (codes[step - 1] * 10 if step else [])]
+    texts += [f"{words(rng, 3)} room {n} {words(rng, 3)}" for n in range(12000, 12040)] + [f"room {codes[4][0]}"]
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_digest(frame(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        at = [t.index(v) for own in codes for v in own if v in t.split()]
+        assert got[i].split(",") == [f"id:{a}:{a + 8}" for a in at] if at else "id:" not in got[i], (t, got[i])
+
+
 def test_pii_base_rules_against_plain_regex():
     import re
 
