@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the id filter that may be broadcast (8 MB); beyond MOST_IDS ids a semi join takes its place.
+#: Bits of the filter of ids that is broadcast, 8 MB whatever the input. It keeps rows at home that no later join wants; with many
+#: ids it fills up and lets more and more through. The joins behind it decide, so the plan and its rows are the same at every size.
 ID_BITS = 1 << 26
-MOST_IDS = ID_BITS // 8
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -22,14 +24,26 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    slim_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slim_batches(spark: SparkSession) -> None:
+    """Hand rows to Python workers in batches of BATCH_BYTES at most, for the rest of the session; a longer row comes alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines share; a folder of our own only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir, which all machines share.
+
+    Only a session on one machine (local[...]), as in tests, may leave it unset; its checkpoints then go to a folder of its own.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -117,20 +131,42 @@ def encoded(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def id_bits(ids: DataFrame) -> np.ndarray | None:
-    """A bitmap of ID_BITS (8 MB) that holds every id of the one long column and a few others; None beyond MOST_IDS ids."""
-    name = ids.columns[0]
-    ids = ids.where(F.col(name).isNotNull())
-    if ids.count() > MOST_IDS:
-        return None
-    slot = F.pmod(F.col(name).bitwiseXOR(F.shiftrightunsigned(F.col(name), 29)), F.lit(ID_BITS))
-    rows = ids.select((slot / 64).cast("int").alias("word"), slot.bitwiseAND(63).cast("int").alias("bit"))
-    rows = rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow().to_pandas()
-    words = np.zeros(ID_BITS // 64, np.int64)
-    words[rows["word"].to_numpy(int)] = rows["bits"].to_numpy(np.int64)
+def _word_and_bit(key: F.Column) -> tuple[F.Column, F.Column]:
+    slot = F.pmod(key.bitwiseXOR(F.shiftrightunsigned(key, 29)), F.lit(ID_BITS))
+    return F.shiftright(slot, 6).cast("int"), slot.bitwiseAND(63).cast("int")
+
+
+def _words(ids: DataFrame) -> DataFrame:
+    """(_word, _bits): the bitmap of the ids of the one long column, ID_BITS / 64 rows at most."""
+    key = F.col(ids.columns[0])
+    word, bit = _word_and_bit(key)
+    return ids.where(key.isNotNull()).select(word.alias("_word"), bit.alias("bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_bits"))
+
+
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """The bitmap that holds every id of the one long column and some others (all, once there are very many)."""
+    rows = _words(ids).toArrow().to_pandas()
+    words = np.zeros(max(1, ID_BITS // 64), np.int64)
+    words[rows["_word"].to_numpy(int)] = rows["_bits"].to_numpy(np.int64)
     return words
 
 
+def marked(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """docs with _hit: true where id_col is in ids (a column of longs) and for some others; texts stay where they are.
+
+    The bitmap is broadcast as a table of ID_BITS / 64 rows at most.
+    """
+    word, bit = _word_and_bit(F.col(id_col))
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.expr("shiftleft(1L, _bit)")) != 0, F.lit(False))
+    near = docs.withColumns({"_at": word, "_bit": bit}).join(F.broadcast(_words(ids)), F.col("_at") == F.col("_word"), "left")
+    return near.withColumn("_hit", hit).drop("_at", "_bit", "_word", "_bits")
+
+
+def only_maybe(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """docs whose id_col is in ids, and some others that the joins behind drop or bear."""
+    return marked(docs, ids, id_col).where("_hit").drop("_hit")
+
+
 def has_bit(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which ids may be in the bitmap; all that are, are."""
     at = (ids.view(np.int64) ^ (ids.view(np.uint64) >> np.uint64(29)).view(np.int64)) & (ID_BITS - 1)
@@ -143,23 +179,6 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> F.Column:
     return F.xxhash64(own.isNull(), F.coalesce(own.cast("long"), F.lit(0)), words.isNull(), F.coalesce(words, F.lit("")))
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without most of the rows whose id isn't in ids (one column of longs); some others may stay.
-
-    Up to MOST_IDS ids a bitmap of fixed size is broadcast, so that texts aren't shuffled; beyond it a semi join does it.
-    """
-    words = id_bits(ids)
-    if words is None:
-        return docs.join(ids.withColumnRenamed(ids.columns[0], "_wanted"), F.col(id_col) == F.col("_wanted"), "left_semi")
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def wanted(ids: pd.Series) -> pd.Series:
-        return pd.Series(has_bit(shared.value, ids.to_numpy(np.int64)))
-
-    return docs.where(F.col(id_col).isNotNull()).where(wanted(F.coalesce(F.col(id_col), F.lit(0))))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (id, component): the smallest id reachable. Min-label rounds with pointer jumping, each settled; every join is on a key."""
     both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
