@@ -24,12 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import chunked
+from folioforge.llm.common import chunked, slim_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
-#: Words that a task keeps at most before it starts its memory anew.
-MEMORY = 1 << 20
+#: Words that a task remembers at most before it starts anew, and bytes of text that it takes at once.
+MEMORY, SLICE = 1 << 17, 1 << 20
 
 
 def read_model(raw: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ class Pieces:
                 place[nodes[node][b]] = at + b
         self.base, self.check, self.leaf = base, check, leaf
 
-    def segment(self, words: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def segment(self, words: list[bytes], most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words' best segmentations in one array, the number of each word's); about so many bytes of words go together."""
         parts = [self._viterbi(words[lo:hi]) for lo, hi in chunked(words, most)]
         return np.concatenate([i for i, _ in parts]), np.concatenate([c for _, c in parts])
@@ -248,6 +248,7 @@ def load(raw: bytes) -> Pieces:
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """docs with ids (the piece ids of the whole text) and decoded (the text that they give back)."""
+    slim_batches(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(load(open(model, "rb").read()))  # a public model of fixed size, read where the driver has it
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
     docs = docs.select(*[f"`{f.name}`" for f in kept])
@@ -257,7 +258,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         encoder = Encoder(pieces.value)
         for whole in batches:
             lengths = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole.column("text")), 0)))
-            cuts = np.unique(np.searchsorted(lengths, np.arange(4 << 20, int(lengths[-1]), 4 << 20), "right")).tolist() if len(lengths) else []
+            cuts = np.unique(np.searchsorted(lengths, np.arange(SLICE, int(lengths[-1]), SLICE), "right")).tolist() if len(lengths) else []
             for lo, hi in zip([0, *cuts], [*cuts, whole.num_rows]):
                 if hi > lo:
                     b = whole.slice(lo, hi - lo)
