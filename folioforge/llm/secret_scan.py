@@ -7,7 +7,8 @@ its candidates, whose whole texts are then scanned by the regex; rules without a
 Positions come from the pieces between matches: a match starts behind all pieces and matches before it.
 
 Defined cases: null is empty; rows without doc_id are candidates of every rule; rows that share a doc_id share its candidates and
-are scanned each; rows repeat as they come; other columns are ignored.
+are scanned each; rows repeat as they come; an empty table gives no rows; equal starts go by the order of the rules; texts of any
+length are scanned whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.common import marked, settle
 
 @dataclass(frozen=True)
 class Rule:
@@ -43,38 +45,48 @@ BASE = 3
 def mandatory(regex: str) -> list[str] | None:
     """Strings in lower case of which every match holds at least one; None if there is no such list of strings of 3 signs or more.
 
-    A walk over the parsed pattern keeps the set of strings that may stand just before, as long as it is small; where it ends,
-    the set is a choice of mandatory strings, and the one with the longest shortest string is taken.
+    Each part of the parsed pattern gives the set of all strings that it matches, if there are few, and the sets of strings of which
+    each match holds one. In a sequence neighbouring sets are multiplied until they get too large; what stands before the break is a
+    mandatory set, and so are those of its parts. A choice needs one of each of its branches; what may be missing gives none.
     """
     from re import _parser as parser
 
-    found: list[set[str]] = []
+    shortest = lambda strings: min(map(len, strings))
 
-    def walk(nodes, open_: set[str]) -> set[str]:
+    def sequence(nodes) -> tuple[set[str] | None, list[set[str]]]:
+        run, whole, found = {""}, True, []
         for op, arg in nodes:
-            name = str(op)
-            if name == "LITERAL":
-                own = {chr(arg).lower()}
-            elif name == "IN" and len(arg) <= 6 and all(str(o) == "LITERAL" for o, _ in arg):
-                own = {chr(c).lower() for _, c in arg}
-            elif name == "SUBPATTERN":
-                own = walk(arg[-1], {""})
-            elif name == "BRANCH":
-                own = set().union(*(walk(b, {""}) for b in arg[1]))
-            elif name == "MAX_REPEAT" and arg[:2] == (0, 1):
-                own = walk(arg[2], {""}) | {""}
+            own, inner = part(str(op), arg)
+            found += inner
+            if own is None or len(run) * len(own) > 128:
+                found.append(run)
+                run, whole = own or {""}, False
             else:
-                own = set()
-            if not own or len(open_) * len(own) > 128:
-                found.append(open_)
-                open_ = own or {""}
-            else:
-                open_ = {a + b for a in open_ for b in own}
-        return open_
-
-    found.append(walk(parser.parse(regex), {""}))
-    best = max(found, key=lambda s: min(map(len, s)))
-    return sorted(s for s in best if not any(t != s and t in s for t in best)) if min(map(len, best)) >= 3 else None
+                run = {a + b for a in run for b in own}
+        return (run if whole else None), [*found, run]
+
+    def part(op: str, arg) -> tuple[set[str] | None, list[set[str]]]:
+        if op == "LITERAL":
+            return {chr(arg).lower()}, []
+        if op == "IN" and len(arg) <= 6 and all(str(o) == "LITERAL" for o, _ in arg):
+            return {chr(c).lower() for _, c in arg}, []
+        if op == "SUBPATTERN":
+            return sequence(arg[-1])
+        if op == "BRANCH":
+            branches = [sequence(b) for b in arg[1]]
+            exact = None if any(e is None for e, _ in branches) else set().union(*(e for e, _ in branches))
+            best = [max(found, key=shortest) for _, found in branches]
+            return exact, [set().union(*best)]
+        if op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            low, high, nodes = arg
+            exact, found = sequence(nodes)
+            if low == 0:
+                return (exact | {""} if exact is not None and high == 1 else None), []
+            return (exact if low == high == 1 else None), found
+        return ({""}, []) if op in ("AT", "ASSERT", "ASSERT_NOT") else (None, [])
+
+    best = max(sequence(parser.parse(regex))[1], key=shortest)
+    return sorted(s for s in best if not any(t != s and t in s for t in best)) if shortest(best) >= 3 else None
 
 
 def trigrams(s: str) -> list[str]:
@@ -141,18 +153,23 @@ def _spans(rule: Rule, number: int) -> Column:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with _spans: an array of (start, kind number, stop) of all rules, in that order."""
     queries = {r.kind: s for r in rules if (s := mandatory(r.regex))}
-    docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
     vocabulary = sorted({t for strings in queries.values() for s in strings for t in trigrams(s)})
     wanted = candidates(index(docs.select("doc_id", "text"), vocabulary), queries).select(F.col("doc_id").alias("_wanted"), F.col("rules").alias("_rules"))
-    near = docs.join(wanted, F.col("doc_id") == F.col("_wanted"), "left")
+    wanted = settle(wanted)
+    # Only texts that may be candidates move to their rules; the others stay where they are.
+    rows = marked(docs, wanted.select("_wanted"), "doc_id")
+    near = rows.where("_hit").join(wanted, F.col("doc_id") == F.col("_wanted"), "left").drop("_wanted", "_hit")
+    far = rows.where("not _hit").drop("_hit").withColumn("_rules", F.array().cast("array<string>"))
     none = F.array().cast("array<struct<start: bigint, kind: int, stop: bigint>>")
     found = []
     for number, rule in enumerate(rules):
         spans = _spans(rule, number)
         if rule.kind in queries:
-            spans = F.when(F.coalesce(F.array_contains("_rules", rule.kind), F.col("doc_id").isNull()), spans).otherwise(none)
+            spans = F.when(F.coalesce(F.array_contains("_rules", rule.kind), F.lit(False)) | F.col("doc_id").isNull(), spans).otherwise(none)
         found.append(spans)
-    return near.withColumn("_spans", F.array_sort(F.concat(*found))).drop("_wanted", "_rules")
+    scan = lambda part: part.withColumn("_spans", F.array_sort(F.concat(*found))).drop("_rules")
+    return scan(near).unionByName(scan(far))
 
 
 def secrets_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
