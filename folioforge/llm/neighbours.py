@@ -4,9 +4,9 @@ Vectors are scaled to length one, so the largest cosine is the largest inner pro
 are fitted on a bounded sample under the anisotropic loss: the part of the residual along the vector weighs PARALLEL times the part
 across it, as only that shifts the large inner products. Every vector is encoded (coordinate descent under the same loss).
 
-Queries meet all rows in blocks: a block of rows (vectors, codes) and a block of queries meet in one task, which sums table entries
-by code, keeps each query's DEEP best of the block and reranks these by the exact cosine in double precision. The best k of each
-block's results are the answer; ties go to the smaller id.
+Queries meet all rows in blocks: at most about QUERIES of them are broadcast at a time, and each task goes through its blocks of rows
+(vectors, codes), which stay where they are. It sums table entries by code, takes each query's DEEP best of a block, reranks these by
+the exact cosine in double precision and keeps the best k so far. The best k of all tasks are the answer; ties go to the smaller id.
 
 The loss ratio and the depth only order candidates; the scores are exact. At DEEP of BLOCK rows measured recall against brute force
 is 1.0 on the given tables.
@@ -14,7 +14,7 @@ is 1.0 on the given tables.
 Defined cases: vectors that are null, zero, hold null or non-finite components, or differ from the most common length (the
 shortest of equally common ones) take no part, nor do rows without an id; a repeated id stands for several candidates but never finds
 itself; a query row that repeats is asked once and each of its rows gets the whole answer, so does each vector of a shared query id;
-with fewer candidates than k all are returned; other columns are ignored.
+with fewer candidates than k all are returned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import settle
+from folioforge.llm.common import settle, slim_batches
 
-#: Rows that the centres are fitted on at most, about.
+#: Rows that the centres are fitted on at most.
 TRAIN_ROWS = 6_000
 PARALLEL, CENTRES = 3.0, 16
-BLOCK, QUERY_BLOCK, DEEP = 4096, 1024, 120
+BLOCK, QUERIES, DEEP = 4096, 16_384, 120
 
 
 class Codebook:
@@ -120,13 +120,16 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, deep: int = DEEP) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows by cosine for each row that is_query (of vec_id) holds for."""
+    slim_batches(vectors.sparkSession)
     rows = usable(vectors)
     schema = "query_id long, rank int, vec_id long, score double"
     total = rows.count()
     if not total:
         return rows.sparkSession.createDataFrame([], schema)
-    share = min(1.0, TRAIN_ROWS / total)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy("vec_id").select("v").toArrow().to_pandas()
+    # A share of the vectors by hash, each once, so that neither repeated ids nor repeated vectors fill the sample beyond its bound.
+    share = min(1_000_000, TRAIN_ROWS * 1_000_000 // total + 1)
+    h = F.xxhash64("v")
+    sample = rows.where(F.pmod(h, F.lit(1_000_000)) < share).select("v").distinct().orderBy(h).limit(TRAIN_ROWS).toArrow().to_pandas()
     if not len(sample):
         sample = rows.limit(CENTRES).select("v").toArrow().to_pandas()
     book = rows.sparkSession.sparkContext.broadcast(Codebook(unit(np.array(sample["v"].tolist()))))
@@ -143,33 +146,49 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, deep: int = DEEP
     packed = settle(rows.mapInPandas(blocks, "ids binary, x binary, codes binary"))
     every = rows.where(is_query).withColumn("h", F.xxhash64("vec_id", "v"))
     asked = settle(every.groupBy("vec_id", "h").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("times")))
-    groups = max(1, -(-asked.count() // QUERY_BLOCK))
-    repeated = asked.where("times > 1")
-    asked = asked.groupBy(F.pmod("h", F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("vec_id", "h", "v")).alias("queries"))
-    met = packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>"))).join(asked, "g")
+    passes = max(1, -(-asked.count() // QUERIES))
+    found = None
+    for g in range(passes):
+        block = asked.where(F.pmod("h", F.lit(passes)) == g).select("vec_id", "h", "v").toArrow().to_pandas()
+        if len(block):
+            part = _search(packed, block, book, k, deep)
+            found = part if found is None else found.union(part)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if not asked.where("times > 1").isEmpty():
+        found = every.select(F.col("vec_id").alias("query_id"), "h").join(found, ["query_id", "h"])
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def _search(packed: DataFrame, block: pd.DataFrame, book, k: int, deep: int) -> DataFrame:
+    """(query_id, h, vec_id, score): each task's k best rows for each query of a broadcast block of at most about QUERIES."""
+    sc = packed.sparkSession.sparkContext
+    shared = sc.broadcast((block["vec_id"].to_numpy(np.int64), block["h"].to_numpy(np.int64), np.array(block["v"].tolist(), np.float64)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, hashes, y = shared.value
+        best_id = np.full((len(names), k), np.iinfo(np.int64).max)
+        best = np.full((len(names), k), -np.inf)
         for b in batches:
-            for ids, x, codes, queries in zip(b["ids"], b["x"], b["codes"], b["queries"]):
+            for ids, x, codes in zip(b["ids"], b["x"], b["codes"]):
                 ids = np.frombuffer(ids, np.int64)
                 x, codes = np.frombuffer(x, np.float64).reshape(len(ids), -1), np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
-                names, hashes = np.array([q["vec_id"] for q in queries], np.int64), np.array([q["h"] for q in queries], np.int64)
-                y = np.array([np.asarray(q["v"], np.float64) for q in queries])
-                out = []
                 for lo in range(0, len(names), 256):
-                    out += [(int(names[lo + q]), int(hashes[lo + q]), i, score) for q, i, score in _best(book.value, ids, x, codes, names[lo : lo + 256], y[lo : lo + 256], k, deep)]
-                yield pd.DataFrame(out, columns=["query_id", "h", "vec_id", "score"])
+                    part = slice(lo, lo + 256)
+                    own, score = _best(book.value, ids, x, codes, names[part], y[part], k, deep)
+                    own, score = np.concatenate([best_id[part], own], axis=1), np.concatenate([best[part], score], axis=1)
+                    order = np.lexsort((own, -score), axis=1)[:, :k]
+                    best_id[part], best[part] = np.take_along_axis(own, order, 1), np.take_along_axis(score, order, 1)
+        query, place = np.nonzero(best > -np.inf)
+        yield pd.DataFrame({"query_id": names[query], "h": hashes[query], "vec_id": best_id[query, place], "score": best[query, place]})
 
-    found = met.mapInPandas(scan, "query_id long, h long, vec_id long, score double")
-    order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    if not repeated.isEmpty():
-        found = every.select(F.col("vec_id").alias("query_id"), "h").join(found, ["query_id", "h"])
-    return found.select("query_id", "rank", "vec_id", "score")
+    return packed.mapInPandas(scan, "query_id long, h long, vec_id long, score double")
 
 
-def _best(book: Codebook, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, names: np.ndarray, y: np.ndarray, k: int, deep: int) -> list[tuple[int, int, float]]:
-    """(place of the query, id, score) of the k best rows of a block (ids rising) for each query: table sums choose deep of them, the exact cosine decides."""
+def _best(book: Codebook, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, names: np.ndarray, y: np.ndarray, k: int, deep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores), queries x k, of the best rows of a block (ids rising): table sums choose deep of them, the exact cosine decides; scores of -inf stand for none."""
     tables = book.tables(unit(y))
     sums = np.zeros((len(ids), len(names)), np.float32)
     for m in range(tables.shape[0]):
@@ -179,10 +198,10 @@ def _best(book: Codebook, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, nam
     take = min(deep, len(ids))
     rows = np.argpartition(-ranked, take - 1, axis=0)[:take].T
     length = np.sqrt((x * x).sum(1))
-    out = []
+    out_id, out = np.full((len(names), k), np.iinfo(np.int64).max), np.full((len(names), k), -np.inf)
     for q, own in enumerate(rows):
         own = own[ids[own] != names[q]]
         score = (x[own] * y[q]).sum(1) / (length[own] * np.sqrt((y[q] * y[q]).sum()))
-        for j in np.lexsort((ids[own], -score))[:k]:
-            out.append((q, int(ids[own[j]]), float(score[j])))
-    return out
+        order = np.lexsort((ids[own], -score))[:k]
+        out_id[q, : len(order)], out[q, : len(order)] = ids[own[order]], score[order]
+    return out_id, out
