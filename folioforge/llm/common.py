@@ -169,7 +169,7 @@ def only_maybe(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame
 
 def has_bit(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which ids may be in the bitmap; all that are, are."""
-    at = (ids.view(np.int64) ^ (ids.view(np.uint64) >> np.uint64(29)).view(np.int64)) & (ID_BITS - 1)
+    at = (ids.view(np.int64) ^ (ids.view(np.uint64) >> np.uint64(29)).view(np.int64)) & (64 * len(words) - 1)
     return (words[at >> 6] >> (at & 63)) & 1 == 1
 
 

@@ -5,31 +5,34 @@ escape method C: a count n of N among d different followers codes it with n / (N
 d / (N + d) and goes on in the next shorter context; the last resort is 1 of 256. Nothing is updated while scoring (frozen counts,
 no exclusions). A text's language is that of the least code length; the score is its posterior share under equal priors.
 
-The counts come from whole texts of at most about TRAIN_BYTES for each language, chosen by a hash of doc_id; Spark counts them.
+The counts come from whole texts of at most about TRAIN_BYTES for each language (an equal share of TRAIN_TOTAL, if there are many
+languages), chosen by a hash of doc_id; Spark counts them.
 Scoring looks each position up once in the longest known context, for all languages together, and goes on with what is missing.
 
-Defined cases: null texts and texts without a letter are 'und' with score 0; rows without lang or doc_id aren't learned from; without
+Defined cases: null texts and texts without a letter (Unicode category L) are 'und' with score 0; very long texts are summed in parts; an
+empty table gives no rows; rows without lang or doc_id aren't learned from; without
 any training row every text is 'und'; equal code lengths take the first language by name; rows repeat as they come; other columns
 are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import chunked, encoded, settle
+from folioforge.llm.common import chunked, encoded, settle, sliced, slim_batches
 
 ORDER = 3
-TRAIN_BYTES = 4 << 20
+#: Bytes of whole texts that are learned from at most, about: of each language, and of all together, which bounds what reaches the driver.
+TRAIN_BYTES, TRAIN_TOTAL = 4 << 20, 64 << 20
 #: Rows of the table of languages that may be broadcast.
 MOST_LANGUAGES = 10_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,14 +155,15 @@ class Trees:
 def train_trees(docs: DataFrame, order: int = ORDER) -> Trees | None:
     """Count the contexts of docs (doc_id, text, lang) that may be learned from."""
     rows = docs.where("doc_id is not null and text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = settle(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")))
+    most = min(TRAIN_BYTES, TRAIN_TOTAL // max(1, sizes.count()))
     # A row for each language says which share of its rows is taken; broadcast if they are as few as languages are, so that no text moves.
-    share = settle(sizes.select("lang", F.least(F.lit(1.0), F.lit(float(TRAIN_BYTES)) / F.greatest("bytes", F.lit(1))).alias("share")))
+    share = settle(sizes.select("lang", F.least(F.lit(1.0), F.lit(float(most)) / F.greatest("bytes", F.lit(1))).alias("share")))
     share = F.broadcast(share) if share.count() <= MOST_LANGUAGES else share
     taken = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.ceil(F.col("share") * 1_000_000))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches):
             for lang, own in b.groupby("lang"):
                 texts = encoded(own["text"])
                 for lo, hi in chunked(texts):
@@ -197,6 +201,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 def language_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), learned from rows that aren't held out."""
+    slim_batches(docs.sparkSession)
     trees = train_trees(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     got = predict(docs.select("doc_id", "text"), trees)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
