@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import encoded, has_bit, id_bits, marked, only_maybe, settle, sliced, slim_batches
 
 WINDOW, KMER = 100, 32
-BUCKET_BYTES = 3 << 19
+BUCKET_BYTES = 1 << 18
 #: Distinct contexts of one anchor that are indexed together; more are split.
-HOT = 1000
+HOT = 500
 #: Bytes whose anchors are found at once.
 PART = 1 << 16
 SPAN = WINDOW - KMER + 1
