@@ -138,23 +138,26 @@ def cleaned(name: Column, value: Column) -> Column:
 # ---- Typed handlers ---------------------------------------------------------------------------------------------------------
 
 
-def boolean_value(text: Column, match: Column, pattern: Column, positive: list[str], negative: list[str]) -> Column:
-    """False by the pattern's name, a negative word, or a negated positive word; else true."""
+def _words(x: list[str] | Column) -> Column:
+    """A list of words as a column; null is none."""
+    return F.coalesce(x if isinstance(x, Column) else F.array(*map(F.lit, x)).cast("array<string>"), F.array().cast("array<string>"))
+
+
+def boolean_value(text: Column, match: Column, pattern: Column, positive: list[str] | Column, negative: list[str] | Column) -> Column:
+    """False by the pattern's name, a negative word, or a negated positive word (the first that the match holds); else true."""
     low = F.lower(match)
-    out = F.when(any_contains(F.lower(pattern), NEGATIVE_NAMES), False).when(any_contains(low, [w.lower() for w in negative]), False)
-    for word in positive:
-        out = out.when(F.contains(low, F.lit(word.lower())), ~negated(text, word))
-    return out.otherwise(True)
+    held = lambda words: F.filter(_words(words), lambda w: F.contains(low, F.lower(w)))
+    word = F.get(held(positive), F.lit(0))
+    return F.when(any_contains(F.lower(pattern), NEGATIVE_NAMES), False).when(F.size(held(negative)) > 0, False).when(word.isNotNull(), ~negated(text, word)).otherwise(True)
 
 
-def enum_value(match: Column, allowed: list[str], cleaner: str | None = None) -> Column:
+def enum_value(match: Column, allowed: list[str] | Column, cleaner: str | Column | None = None) -> Column:
     """The cleaner's label if allowed, else the first allowed value contained, else required or optional by common words."""
-    label = CLEANERS[cleaner](match) if cleaner else match
+    label = cleaned(cleaner, match) if isinstance(cleaner, Column) else CLEANERS[cleaner](match) if cleaner else match
     low = F.lower(label)
-    out = F.when(label.isin(*allowed), label) if cleaner else F.when(F.lit(False), label)
-    for value in allowed:
-        out = out.when(F.contains(low, F.lit(value.lower())), F.lit(value))
-    return out.when(any_contains(low, ["required", "mandatory"]), "required").when(any_contains(low, ["optional", "encouraged"]), "optional").otherwise("unknown")
+    out = F.when(F.array_contains(_words(allowed), label), label)
+    first = F.get(F.filter(_words(allowed), lambda v: F.contains(low, F.lower(v))), F.lit(0))
+    return out.when(first.isNotNull(), first).when(any_contains(low, ["required", "mandatory"]), "required").when(any_contains(low, ["optional", "encouraged"]), "optional").otherwise("unknown")
 
 
 def season_months(v: Column) -> Column:
@@ -184,9 +187,9 @@ def valid_date_range(v: Column) -> Column:
     return named & ~any_contains(low, garbage) & F.length(v).between(6, 100) & ~v.isin("", "unknown")
 
 
-def date_value(match: Column, cleaner: str | None = None, is_range: bool = False) -> Column:
+def date_value(match: Column, cleaner: str | Column | None = None, is_range: bool | Column = False) -> Column:
     """A date string without labels, weekdays and ordinals, months in full; TBD for what is to be announced."""
-    v = CLEANERS[cleaner](F.trim(match)) if cleaner else F.trim(match)
+    v = cleaned(cleaner, F.trim(match)) if isinstance(cleaner, Column) else CLEANERS[cleaner](F.trim(match)) if cleaner else F.trim(match)
     v = F.trim(F.regexp_replace(v, r"^(?s:.*):", ""))  # what stands behind the last colon
     v = F.regexp_replace(v, r"(?i)^(?:author response period|response period|rebuttal period|submission period|review period)\s+", "")
     v = F.regexp_replace(v, r"(?i)(?:Sun|Mon|Tue|Wed|Thu|Fri|Sat)\.?\s+", "")
@@ -195,8 +198,10 @@ def date_value(match: Column, cleaner: str | None = None, is_range: bool = False
     for short, name in MONTH_FORMS:
         v = F.regexp_replace(v, rf"(?i)\b{short}\b", name)
     v = F.trim(F.regexp_replace(v, r"\s+", " "))
-    if is_range:
+    if is_range is not False:
+        single = v
         v = let(date_range(v), lambda r: F.when(valid_date_range(r), r).otherwise("unknown"))
+        v = v if is_range is True else F.when(is_range, v).otherwise(single)
     v = let(v, season_months)
     return F.when(any_contains(F.lower(match), ["tbd", "tba", "to be announced", "coming soon"]), "TBD").otherwise(v)
 

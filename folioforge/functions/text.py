@@ -168,11 +168,11 @@ def snippets(text: Column, keyword: str, most: int = 3, around: int = 80) -> Col
     return F.when(F.size(pieces) > 1, F.transform(hits, one)).otherwise(F.array().cast("array<string>"))
 
 
-def negated(text: Column, keyword: str, window: int = 50) -> Column:
+def negated(text: Column, keyword: str | Column, window: int = 50) -> Column:
     """Whether a negation stands within window signs before the keyword's first place, or 'no keyword' around it."""
-    low = F.lower(text)
-    at = F.locate(keyword.lower(), low)
+    low, word = F.lower(text), F.lower(keyword if isinstance(keyword, Column) else F.lit(keyword))
+    at, size = F.position(word, low), F.length(word)
     begin = F.greatest(F.lit(1), at - window)
-    before = F.substring(low, begin, at - begin + len(keyword))
-    context = F.substring(low, begin, at - begin + len(keyword) + window)
-    return (at > 0) & (before.rlike("|".join(NEGATIONS)) | context.rlike(rf"\bno\s+\Q{keyword.lower()}\E"))
+    before = F.substring(low, begin, at - begin + size)
+    context = F.substring(low, begin, at - begin + size + window)
+    return (at > 0) & (before.rlike("|".join(NEGATIONS)) | F.regexp_like(context, F.concat(F.lit(r"\bno\s+\Q"), word, F.lit(r"\E"))))

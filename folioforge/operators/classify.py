@@ -5,7 +5,7 @@ Each classifier joins its texts with its (small) pattern table and aggregates ma
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import classifier_patterns as c
@@ -21,9 +21,62 @@ def labelled(spark: SparkSession, groups: dict) -> DataFrame:
     return spark.createDataFrame(rows, "grp string, label string, label_no int, pattern_no int, rx string")
 
 
-def _met(texts: DataFrame, keys: list[str], groups: dict, dotall: bool = False) -> DataFrame:
-    table = labelled(texts.sparkSession, groups).withColumn("rx", F.concat(F.lit("(?isduU)" if dotall else _CASE), "rx"))
-    return texts.select(*keys, "text").join(small(table), F.regexp_like("text", F.col("rx")))
+def anchor(rx: str) -> str:
+    """The longest run of plain signs outside of groups and sets that each match of a pattern holds, in lower case; empty if there is none."""
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(rx):
+        c = rx[i]
+        plain = False
+        if c == "\\":
+            i += 1
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "[":
+            i = rx.index("]", i + 2)
+        elif c == "|" and not depth:
+            return ""
+        elif c in "?*{":
+            run = run[:-1]  # the sign before may be missing
+            i = rx.index("}", i) if c == "{" else i
+        else:
+            plain = c not in "+^$.|" and not depth
+        if plain:
+            run += c.lower()
+        else:
+            runs.append(run)
+            run = ""
+        i += 1
+    return max([*runs, run], key=len)
+
+
+def _anchored(texts: DataFrame, keys: list[str], groups: dict, dotall: bool = False) -> DataFrame:
+    """texts with the patterns (grp, label, label_no, pattern_no, rx) whose anchors they hold; text and pattern meet by an equi-join on the group."""
+    spark = texts.sparkSession
+    anchors = {rx: anchor(rx) for labels in groups.values() for patterns in labels.values() for rx in patterns}
+    table = labelled(spark, groups).join(F.broadcast(spark.createDataFrame(list(anchors.items()), "rx string, anchor string")), "rx")
+    table = table.withColumn("rx", F.concat(F.lit("(?isduU)" if dotall else _CASE), "rx"))
+    rows = texts.select(*keys, "text", F.lower("text").alias("low"), F.explode(F.array(*[F.lit(str(g)) for g in groups])).alias("grp"))
+    return rows.join(small(table), "grp").where(F.contains("low", F.col("anchor"))).drop("low", "anchor")
+
+
+def _met(texts: DataFrame, keys: list[str], groups: dict) -> DataFrame:
+    """texts with the patterns that match them."""
+    return _anchored(texts, keys, groups).where(F.regexp_like("text", F.col("rx")))
+
+
+def _windows(matches: Column, text: Column, around: int) -> Column:
+    """The first two matches with so many signs around them."""
+    begin = lambda m: F.greatest(F.lit(1), m["start"] - around)
+    one = lambda m: F.regexp_replace(F.substring(text, begin(m), m["start"] - begin(m) + F.length(m["match"]) + around), r"^\s+|\s+$", "")
+    return F.transform(F.slice(matches, 1, 2), one)
+
+
+def _evidence() -> Column:
+    """The first two windows of all patterns, by label and pattern, of grouped rows with label_no, pattern_no and windows."""
+    ordered = F.array_sort(F.collect_list(F.struct("label_no", "pattern_no", "windows")))
+    return F.array_join(F.slice(F.flatten(F.transform(ordered, lambda x: x["windows"])), 1, 2), "; ").alias("evidence")
 
 
 def page_limit(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,7 +86,7 @@ def page_limit(texts: DataFrame, keys: list[str]) -> DataFrame:
     six pages on; the first of equals by pattern and place.
     """
     table = texts.sparkSession.createDataFrame(list(enumerate(c.PAGE)), "idx int, rx string").withColumn("rx", F.concat(F.lit(_CASE), "rx"))
-    rows = texts.select(*keys, "text").join(small(table), F.regexp_like("text", F.col("rx")))
+    rows = texts.select(*keys, "text").crossJoin(small(table))  # every pattern has the word page, so all meet all
     rows = rows.withColumn("m", F.explode(all_matches(F.col("text"), F.col("rx")))).select(*keys, "text", "idx", "m.*")
     around = F.lower(F.substring(F.col("text"), F.greatest(F.lit(1), F.col("start") - 100), F.col("start") - F.greatest(F.lit(1), F.col("start") - 100) + F.length("match") + 100))
     shown = F.when(F.col("match").rlike(r"\d"), F.col("match"))
@@ -78,14 +131,22 @@ def page_exclusions(limits: DataFrame, texts: DataFrame, keys: list[str]) -> Dat
 
 
 def review_class(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, label, score, second, confidence): weighted matches of three labels; the first label of equals."""
-    hits = _met(texts, keys, {"review": c.REVIEW}).select(*keys, "label", "label_no", F.explode(F.regexp_extract_all("text", F.col("rx"), F.lit(0))).alias("m"))
-    weight = F.when(F.col("m").rlike(r"(?i)(double|single)[- ]blind\s+(review|process)"), 2.0).when(F.col("m").rlike(r"(?i)open\s+(?:peer\s+)?review"), 2.0).when(F.col("m").rlike("(?i)openreview"), 0.3).otherwise(1.0)
-    scores = hits.groupBy(*keys, "label", "label_no").agg(F.sum(weight).alias("score"))
+    """(keys, label, score, second, confidence, evidence): weighted matches of three labels; the first label of equals; unknown without a match."""
+    rows = _anchored(texts, keys, {"review": c.REVIEW}).withColumn("ms", all_matches(F.col("text"), F.col("rx")))
+
+    def weight(m: Column) -> Column:
+        strong = m.rlike(r"(?i)(double|single)[- ]blind\s+(review|process)") | m.rlike(r"(?i)open\s+(?:peer\s+)?review")
+        return F.when(strong, 2.0).when(m.rlike("(?i)openreview"), 0.3).otherwise(1.0)
+
+    own = F.aggregate("ms", F.lit(0.0), lambda s, m: s + weight(m["match"]))
+    rows = rows.select(*keys, "label", "label_no", "pattern_no", own.alias("own"), _windows(F.col("ms"), F.col("text"), 50).alias("windows"))
+    scores = rows.groupBy(*keys, "label", "label_no").agg(F.sum("own").alias("score")).where("score > 0")
     ranked = scores.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "label_no", "label"))).alias("s"))
-    top, next_ = -F.get("s", F.lit(0))["minus"], F.coalesce(-F.get("s", F.lit(1))["minus"], F.lit(0.0))
+    top, next_ = F.coalesce(-F.get("s", F.lit(0))["minus"], F.lit(0.0)), F.coalesce(-F.get("s", F.lit(1))["minus"], F.lit(0.0))
     confidence = F.when(top >= 3, "high").when((top == 2) & (next_ == 0), "medium").otherwise("low")
-    return ranked.select(*keys, F.get("s", F.lit(0))["label"].alias("label"), top.alias("score"), next_.alias("second"), confidence.alias("confidence"))
+    every = texts.select(*keys).distinct().join(ranked, keys, "left").join(rows.groupBy(*keys).agg(_evidence()), keys, "left")
+    label = F.coalesce(F.get("s", F.lit(0))["label"], F.lit("unknown"))
+    return every.select(*keys, label.alias("label"), top.alias("score"), next_.alias("second"), confidence.alias("confidence"), F.coalesce("evidence", F.lit("")).alias("evidence"))
 
 
 def first_label(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,12 +156,20 @@ def first_label(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def policy_class(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, policy, label, score, confidence): the label with most matches, the first of equals; disclosure wins for the model policy."""
-    hits = _met(texts, keys, c.POLICIES, dotall=True)
-    scores = hits.groupBy(*keys, "grp", "label", "label_no").agg(F.sum(F.regexp_count("text", F.col("rx"))).alias("score"))
-    wins = (F.col("grp") == "llm_policy") & (F.col("label") == "required_disclosure")
-    best = scores.groupBy(*keys, F.col("grp").alias("policy")).agg(F.min(F.struct((~wins).alias("w"), (-F.col("score")).alias("minus"), "label_no", "label", "score")).alias("b"))
-    return best.select(*keys, "policy", "b.label", F.col("b.score").cast("long").alias("score"), F.when(F.col("b.score") >= 3, "high").otherwise("medium").alias("confidence"))
+    """(keys, policy, label, score, confidence, evidence): the label with most matches, the first of equals; disclosure wins for the model policy.
+
+    A policy without a match is not_mentioned where that is one of its labels, else unknown.
+    """
+    rows = _anchored(texts, keys, c.POLICIES, dotall=True).withColumn("ms", all_matches(F.col("text"), F.col("rx")))
+    rows = rows.select(*keys, F.col("grp").alias("policy"), "label", "label_no", "pattern_no", F.size("ms").alias("n"), _windows(F.col("ms"), F.col("text"), 30).alias("windows"))
+    scores = rows.groupBy(*keys, "policy", "label", "label_no").agg(F.sum("n").alias("score")).where("score > 0")
+    wins = (F.col("policy") == "llm_policy") & (F.col("label") == "required_disclosure")
+    best = scores.groupBy(*keys, "policy").agg(F.min(F.struct((~wins).alias("w"), (-F.col("score")).alias("minus"), "label_no", "label", "score")).alias("b"))
+    policies = texts.sparkSession.createDataFrame([(g, "not_mentioned" if "not_mentioned" in labels else "unknown") for g, labels in c.POLICIES.items()], "policy string, none string")
+    every = texts.select(*keys).distinct().crossJoin(F.broadcast(policies)).join(best, [*keys, "policy"], "left").join(rows.groupBy(*keys, "policy").agg(_evidence()), [*keys, "policy"], "left")
+    score = F.coalesce(F.col("b.score"), F.lit(0)).cast("long")
+    confidence = F.when(score == 0, "low").when(score >= 3, "high").otherwise("medium")
+    return every.select(*keys, "policy", F.coalesce("b.label", "none").alias("label"), score.alias("score"), confidence.alias("confidence"), F.coalesce("evidence", F.lit("")).alias("evidence"))
 
 
 def statements(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,11 +204,11 @@ def tracks(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 def legacy_rows(texts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, field, value): classifier results as rows of the field table; what isn't mentioned gives no row."""
-    review = review_class(texts, keys)
+    review = review_class(texts, keys).where("label <> 'unknown'")
     flag = lambda name, label: review.select(*keys, F.lit(name).alias("field"), (F.col("label") == label).cast("string").alias("value"))
     out = flag("double_blind", "double_blind").union(flag("single_blind", "single_blind")).union(flag("open_review", "open_review"))
     out = out.union(page_limit(texts, keys).select(*keys, F.lit("page_limit").alias("field"), F.col("main_limit").alias("value")))
-    out = out.union(policy_class(texts, keys).select(*keys, F.col("policy").alias("field"), F.col("label").alias("value")))
+    out = out.union(policy_class(texts, keys).where("score > 0").select(*keys, F.col("policy").alias("field"), F.col("label").alias("value")))
     first = first_label(texts, keys)
     named = F.when(F.col("policy") == "rebuttal", "rebuttal_allowed").otherwise(F.col("policy"))
     value = F.when(F.col("policy") == "rebuttal", (F.col("label") == "allowed").cast("string")).when(F.col("policy") == "desk_rejection", (F.col("label") == "yes").cast("string")).otherwise(F.col("label"))

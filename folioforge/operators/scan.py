@@ -18,7 +18,7 @@ def small(table: DataFrame) -> DataFrame:
 
 def corpus(texts: DataFrame, keys: list[str], order: str = "source_key") -> DataFrame:
     """One text for each key: '=== name ===' and the text of each source in order, blank lines between; blank and [Empty] are left out."""
-    rows = texts.where(F.col("text").isNotNull() & ~F.trim("text").isin("", "[Empty]"))
+    rows = texts.where(F.col("text").rlike(r"\S") & ~F.col("text").rlike(r"^\s*\[Empty\]\s*$"))
     part = F.concat(F.lit("=== "), F.col("source_key"), F.lit(" ===\n"), F.col("text"))
     lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("part")))).alias("parts"))
     return lists.select(*keys, F.array_join(F.transform("parts", lambda s: s["part"]), "\n\n").alias("text"))

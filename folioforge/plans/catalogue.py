@@ -56,7 +56,7 @@ def catalogue_visible(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cat_search(spark: SparkSession, d: str) -> DataFrame:
-    return c.search(rows(spark, d), "an").select(*KEYS, "name")
+    return c.search(rows(spark, d), "conf1").select(*KEYS, "name")
 
 
 def cat_multi_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -138,9 +138,9 @@ def discover_years(spark: SparkSession, d: str) -> DataFrame:
 
 def _nested(spark: SparkSession, d: str) -> DataFrame:
     """Feeds with nested years and timelines, made of orders: conf, confs array of (year, place, timeline)."""
-    o = table(spark, d, "orders").where("o_orderkey % 40 = 0")
-    entry = F.struct(F.year("o_orderdate").alias("year"), F.concat(F.lit("Town"), (F.col("o_orderkey") % 9).cast("string")).alias("place"), F.array(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("deadline"), F.when(F.col("o_orderkey") % 80 == 0, "submit on EasyChair").otherwise("").alias("comment"))).alias("timeline"), F.col("o_orderkey").alias("k"))
-    lists = o.groupBy(F.concat(F.lit("CONF"), (F.col("o_custkey") % 50).cast("string")).alias("conf")).agg(F.collect_list(entry).alias("confs"))
+    o = table(spark, d, "orders")
+    entry = F.struct(F.year("o_orderdate").alias("year"), F.concat(F.lit("Town"), (F.col("o_orderkey") % 9).cast("string")).alias("place"), F.array(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("deadline"), F.when(F.col("o_orderkey") % 40 == 0, "submit on EasyChair").otherwise("").alias("comment"))).alias("timeline"), F.col("o_orderkey").alias("k"))
+    lists = o.groupBy(F.concat(F.lit("CONF"), F.col("o_custkey").cast("string")).alias("conf")).agg(F.collect_list(entry).alias("confs"))
     return lists.withColumn("confs", F.array_sort("confs", lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
 
 
@@ -167,7 +167,7 @@ _ROWS = (
 )
 _RANK = "CASE ccf WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 ELSE 999 END"
 _AVAIL = "CASE WHEN value IN ('unknown', '', 'not_mentioned') THEN 0 WHEN type = 'boolean' AND value = 'false' THEN 1 WHEN type = 'enum' AND value IN ('none', 'forbidden') THEN 1 WHEN type = 'enum' AND value IN ('optional', 'required_disclosure') THEN 2 ELSE 3 END"
-_NEST = "nested AS (SELECT 'CONF' || (o_custkey % 50) AS conf, o_orderkey AS k, year(o_orderdate)::INT AS year, 'Town' || (o_orderkey % 9) AS place, o_orderdate, o_orderkey % 80 = 0 AS sys, row_number() OVER (PARTITION BY o_custkey % 50, year(o_orderdate) ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey % 40 = 0)"
+_NEST = "nested AS (SELECT 'CONF' || o_custkey AS conf, o_orderkey AS k, year(o_orderdate)::INT AS year, 'Town' || (o_orderkey % 9) AS place, o_orderdate, o_orderkey % 40 = 0 AS sys, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey) AS r FROM orders)"
 
 
 def _importance() -> str:
@@ -179,7 +179,7 @@ def _importance() -> str:
 QUERIES = {
     "catalogue": (catalogue, _ROWS + " SELECT entity, year, name, area_title, ccf, domain, known, total, completeness FROM rws"),
     "catalogue_visible": (catalogue_visible, _ROWS + " SELECT entity, year, domain FROM rws WHERE domain IS NOT NULL AND conference_location <> 'unknown' AND submission_deadline <> 'unknown'"),
-    "cat_search": (cat_search, _ROWS + " SELECT entity, year, name FROM rws WHERE contains(lower(entity), 'an') OR contains(lower(coalesce(name, '')), 'an')"),
+    "cat_search": (cat_search, _ROWS + " SELECT entity, year, name FROM rws WHERE contains(lower(entity), 'conf1') OR contains(lower(coalesce(name, '')), 'conf1')"),
     "cat_multi_filter": (cat_multi_filter, _ROWS + " SELECT entity, year, area, ccf FROM rws WHERE coalesce(area, 'Other') IN ('1', 'Other') AND coalesce(ccf, '-') IN ('A', '-') AND year IN (1995, 1996)"),
     "cat_country": (cat_country, _ROWS + " SELECT entity, year, country FROM rws WHERE country = 'Country 2' OR ends_with(country, ', Country 2')"),
     "cat_flags": (cat_flags, _ROWS + " SELECT entity, year FROM rws WHERE double_blind = 'true' AND rebuttal_allowed = 'true'"),

@@ -123,6 +123,13 @@ def frontier(spark: SparkSession, d: str) -> DataFrame:
     return p.frontier(pages.select("page_id", "url"), p.page_links(pages)).select("host", "url", "depth", "priority", "place")
 
 
+def frontier_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """The walk with further seeds: every ninth page is one that a feed links to."""
+    pages = _pages(spark, d)
+    seeds = pages.where("page_id % 9 = 0 and url is not null").select(t.url_host(F.col("url")).alias("host"), "url")
+    return p.frontier(pages.select("page_id", "url"), p.page_links(pages), seeds=seeds).select("host", "url", "depth", "priority", "place")
+
+
 def skip_url(spark: SparkSession, d: str) -> DataFrame:
     tail = F.element_at(F.array(*map(F.lit, ["", "/a.PDF", "/proceedings/", "/cfp", "/x.svg"])), (F.col("page_id") % 5 + 1).cast("int"))
     return _pages(spark, d).select("page_id", p.skip_url(F.concat("url", tail)).alias("skip"))
@@ -165,8 +172,13 @@ def skip_content_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pages(spark, d).where("html is not null and url is not null").select("page_id", "url", t.html_text(F.col("html")).alias("text"), (F.col("page_id") % 3).alias("depth"))
-    return rows.withColumn("score", p.page_score(F.col("url"), F.col("text"), F.col("depth")).cast("long"))
+    """(page_id, url, score, empty, hash) of each page; its text is made once, and never leaves the row."""
+    rows = _pages(spark, d).where("html is not null and url is not null").select("page_id", "url", "html", (F.col("page_id") % 3).alias("depth"))
+
+    def judged(text):
+        return t.let(F.lower(text), lambda low: F.struct(p.page_score(F.col("url"), text, F.col("depth"), low).cast("long").alias("score"), p.non_content(text, low).alias("empty"), t.hash_norm(text).alias("hash")))
+
+    return rows.select("page_id", "url", t.let(t.html_text(F.col("html")), judged).alias("s")).select("page_id", "url", "s.*")
 
 
 def score_page(spark: SparkSession, d: str) -> DataFrame:
@@ -179,8 +191,8 @@ def score_size(spark: SparkSession, d: str) -> DataFrame:
 
 def best_pages(spark: SparkSession, d: str, k: int = 10, least: int = 20) -> DataFrame:
     """The flagship: text of each page, no empty pages, score, first copy of each content, the best k of each host."""
-    rows = _scored(spark, d).where(~p.non_content(F.col("text"))).withColumn("host", t.url_host(F.col("url")))
-    first = p.first_by_hash(rows.withColumn("minus", -F.col("score")), t.hash_norm(F.col("text")), ["minus", "url", "page_id", "host", "score"])
+    rows = _scored(spark, d).where("not empty").withColumn("host", t.url_host(F.col("url"))).withColumn("minus", -F.col("score"))
+    first = p.first_by_hash(rows.withColumnRenamed("hash", "own"), F.col("own"), ["minus", "url", "page_id", "host", "score"])
     return p.top_pages(first, ["host"], k, least).select("host", "place", "page_id", "score")
 
 
@@ -215,8 +227,9 @@ def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_status(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", (F.floor(F.col("doc_id") / 4) * 4).alias("slot"), t.hash_norm(F.col("text")).alias("hash"))
-    side = lambda r: rows.where(F.col("doc_id") % 4 == r).select(F.concat(F.lit("f"), (F.col("slot") + F.when((F.col("slot") % 12 == 0) & (F.lit(r) == 1), 1).otherwise(0)).cast("string")).alias("filename"), "hash")
+    """Documents with even ids are the old files, those with odd ids the new ones; every sixth new file has a name of its own."""
+    rows = table(spark, d, "documents").select("doc_id", (F.floor(F.col("doc_id") / 2) * 2).alias("slot"), t.hash_norm(F.col("text")).alias("hash"))
+    side = lambda r: rows.where(F.col("doc_id") % 2 == r).select(F.concat(F.lit("f"), (F.col("slot") + F.when((F.col("slot") % 12 == 0) & (F.lit(r) == 1), 1).otherwise(0)).cast("string")).alias("filename"), "hash")
     return p.upsert(side(0), side(1))
 
 
@@ -266,13 +279,13 @@ _LEVEL = (
 )
 
 
-def _frontier_sql() -> str:
+def _frontier_sql(seeds: str = '') -> str:
     levels = ",\n".join(
         _LEVEL.format(d=k, c=k - 1, prio=PRIORITY, host_src=HOST.format("r.src"), host_dst=HOST.format("r.dst"), skip=SKIP.format("r.dst"), path_dst=PATH.format("r.dst"), rel=RELATED, before=" UNION ALL ".join(f"SELECT host, url FROM level{j}" for j in range(k)))
         for k in (1, 2, 3)
     )
     return f"""WITH {LINKS}, first AS (SELECT {HOST.format("url")} AS host, arg_min(url, page_id) AS url FROM pages WHERE url IS NOT NULL GROUP BY 1),
-home AS (SELECT host, {PATH.format("url")} AS home_path FROM first), level0 AS (SELECT host, url, 0 AS depth, 0 AS priority FROM first), {levels},
+home AS (SELECT host, {PATH.format("url")} AS home_path FROM first), level0 AS (SELECT host, url, 0 AS depth, 0 AS priority FROM first{seeds}), {levels},
 reached AS ({" UNION ALL ".join(f"SELECT * FROM level{k}" for k in range(4))})
 SELECT host, url, depth, priority, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY priority, depth, url) AS place FROM reached) WHERE place <= 15"""
 
@@ -293,6 +306,7 @@ QUERIES = {
     ),
     "link_priority": (link_priority, f"WITH {LINKS} SELECT ({PRIORITY})::INT AS priority, count(*) AS n FROM resolved GROUP BY 1"),
     "frontier": (frontier, _frontier_sql()),
+    "frontier_seeds": (frontier_seeds, _frontier_sql(f" UNION SELECT {HOST.format('url')}, url, 0, 0 FROM pages WHERE page_id % 9 = 0 AND url IS NOT NULL")),
     "skip_url": (skip_url, f"SELECT page_id, {SKIP.format('u')} AS skip FROM (SELECT page_id, url || ['', '/a.PDF', '/proceedings/', '/cfp', '/x.svg'][page_id % 5 + 1] AS u FROM pages)"),
     "url_filename": (url_filename, f"SELECT page_id, {FILENAME.format('url')} AS filename FROM pages"),
     "trim_path": (
@@ -336,8 +350,8 @@ QUERIES = {
     "dedup_stats": (dedup_stats, "SELECT count(DISTINCT md5(text)) AS unique_hashes, count(*) AS n_docs FROM documents"),
     "upsert_status": (
         upsert_status,
-        f"WITH h AS (SELECT doc_id, doc_id // 4 * 4 AS slot, {HASH.format('text')} AS hash FROM documents), o AS (SELECT 'f' || slot AS filename, hash AS a FROM h WHERE doc_id % 4 = 0), "
-        "n AS (SELECT 'f' || (slot + CASE WHEN slot % 12 = 0 THEN 1 ELSE 0 END) AS filename, hash AS b FROM h WHERE doc_id % 4 = 1) "
+        f"WITH h AS (SELECT doc_id, doc_id // 2 * 2 AS slot, {HASH.format('text')} AS hash FROM documents), o AS (SELECT 'f' || slot AS filename, hash AS a FROM h WHERE doc_id % 2 = 0), "
+        "n AS (SELECT 'f' || (slot + CASE WHEN slot % 12 = 0 THEN 1 ELSE 0 END) AS filename, hash AS b FROM h WHERE doc_id % 2 = 1) "
         "SELECT filename, CASE WHEN b IS NULL THEN 'kept' WHEN a IS NULL THEN 'new' WHEN a = b THEN 'unchanged' ELSE 'changed' END AS status, coalesce(b, a) AS hash FROM o FULL JOIN n USING (filename)",
     ),
     "cache_fresh": (

@@ -9,10 +9,12 @@ from folioforge.functions import classifier_patterns as cp
 from folioforge.functions import dates as dt
 from folioforge.functions import rules as rv
 from folioforge.functions import text as t
-from folioforge.functions.patterns import ALLOWED, FIELDS, fields_table, patterns_table
+from folioforge.functions.patterns import FIELDS, fields_table, patterns_table
+from folioforge.functions.text import let
 from folioforge.operators import classify, merge, scan
-from folioforge.plans.views import POLICY, RULES, _values
-from folioforge.sources.tables import feed, policy_text, table
+from folioforge.plans.views import MAPPED, POLICY, RULES, _values
+from folioforge.sources.shared import settle
+from folioforge.sources.tables import feed, policy_text, second_feed, table
 
 KEYS = ["entity", "year"]
 
@@ -25,32 +27,44 @@ def scanned(spark: SparkSession, d: str) -> DataFrame:
     return scan.pattern_scan(corpora(spark, d), KEYS, fields_table(spark), patterns_table(spark))
 
 
+def typed_of(texts: DataFrame, fields: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(keys, field, match, value): each field's handler by its type; keywords, labels and cleaners come from the table of fields."""
+    m, c = F.col("match"), F.col("cleaner")
+    known = fields.select("field", "type", "cleaner", "positive", "negative", "allowed", "is_range", "is_place")
+    found = scan.pattern_scan(texts, KEYS, fields, patterns).join(texts, KEYS).join(scan.small(known), "field")
+    place = let(rv.string_value(m), lambda v: F.when(rv.valid_location(v), v).otherwise("unknown"))
+    value = (
+        F.when(F.col("type") == "boolean", rv.boolean_value(F.col("text"), m, F.col("name"), F.col("positive"), F.col("negative")).cast("string"))
+        .when(F.col("type") == "date", rv.date_value(m, c, F.col("is_range"))).when(F.col("type") == "enum", rv.enum_value(m, F.col("allowed"), c))
+        .when(F.col("type") == "list", F.array_join(rv.HANDLERS["list"](m), "; ")).when(F.col("type") == "number", rv.number_value(m))
+        .when(F.col("is_place"), place).when(c.isNotNull(), rv.cleaned(c, m)).otherwise(rv.string_value(m))
+    )
+    return found.select(*KEYS, "field", "match", value.alias("value"))
+
+
 def typed(spark: SparkSession, d: str) -> DataFrame:
-    """(keys, field, match, value): each field's handler by its type."""
-    m, f, p = F.col("match"), F.col("field"), F.col("name")
-    value = F.when(f.isin("submission_deadline"), rv.date_value(m, "deadline")).when(f == "notification_date", rv.date_value(m, "notification")).when(f == "page_limit", rv.page_number(m)).when(f == "conference_location", rv.string_value(m))
-    for field, labels in ALLOWED.items():
-        value = value.when(f == field, rv.enum_value(m, labels))
-    value = value.otherwise(rv.boolean_value(m, m, p, [], []).cast("string"))
-    return scanned(spark, d).select(*KEYS, "field", "match", value.alias("value"))
+    return typed_of(settle(corpora(spark, d)), fields_table(spark), patterns_table(spark))
 
 
 def rules(spark: SparkSession, d: str) -> DataFrame:
     """A row for every key and field."""
     keys = policy_text(spark, d).select(*KEYS).distinct()
-    got = merge.default_fill(typed(spark, d), keys, fields_table(spark))
+    got = merge.default_fill(settle(typed(spark, d)), keys, fields_table(spark))
     kinds = scan.small(fields_table(spark).select("field", "type"))
     return got.join(kinds, "field").select(*KEYS, "field", "category", "type", "priority", "value", F.coalesce("match", F.lit("")).alias("evidence"))
 
 
-def feed_rows(spark: SparkSession, d: str) -> DataFrame:
-    pairs = F.explode(F.array(F.struct(F.lit("submission_deadline").alias("field"), F.col("deadline").alias("value")), F.struct(F.lit("conference_location").alias("field"), F.col("place").alias("value"))))
-    return feed(spark, d).select(*KEYS, pairs.alias("p")).select(*KEYS, "p.*")
+def feed_rows(spark: SparkSession, d: str, which: int = 1) -> DataFrame:
+    """(keys, field, value): the mapped fields of the first or the second feed."""
+    rows = feed(spark, d) if which == 1 else second_feed(spark, d)
+    pairs = F.explode(F.array(*[F.struct(F.lit(m[0]).alias("field"), F.col(m[which]).alias("value")) for m in MAPPED if m[which]]))
+    return rows.select(*KEYS, pairs.alias("p")).select(*KEYS, "p.*").where("value is not null")
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:
     base = rules(spark, d)
-    return merge.with_feeds(base.select(*KEYS, "field", "value"), KEYS, [("feed", feed_rows(spark, d))]).join(scan.small(fields_table(spark).select("field", "category")), "field")
+    feeds = [("feed", feed_rows(spark, d)), ("feed2", feed_rows(spark, d, 2))]
+    return merge.with_feeds(base.select(*KEYS, "field", "value"), KEYS, feeds).join(scan.small(fields_table(spark).select("field", "category")), "field")
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +79,48 @@ def default_fill(spark: SparkSession, d: str) -> DataFrame:
     return rules(spark, d)
 
 
+#: The year that stale dates are judged from.
+_AS_OF = 1996
+
+
+def _of_kind(kind: str) -> list[str]:
+    return [f for f, _, k, *_ in FIELDS if k == kind]
+
+
+def rule_number(spark: SparkSession, d: str) -> DataFrame:
+    """Page limits as numbers within bounds."""
+    return typed(spark, d).where("field = 'page_limit'").select(*KEYS, rv.number_value(F.col("match"), 7, 11).alias("value"))
+
+
+def stale_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates of the rules, unknown where they are long past."""
+    return typed(spark, d).where(F.col("field").isin(*_of_kind("date"))).select(*KEYS, "field", rv.not_stale(F.col("value"), _AS_OF).alias("value"))
+
+
+def locations(spark: SparkSession, d: str) -> DataFrame:
+    """The places of the rules, normalised to city and country."""
+    places = typed(spark, d).where("field = 'conference_location' and value <> 'unknown'")
+    return places.select(*KEYS, rv.location(F.col("value")).alias("l")).select(*KEYS, "l.city", "l.country")
+
+
+def known_modes(spark: SparkSession, d: str) -> DataFrame:
+    """How many values of each field count as known, by each meaning of the word."""
+    modes = ("quality", "report", "site", "display")
+    return rules(spark, d).groupBy("field").agg(*[F.count_if(rv.is_known(F.col("value"), m)).alias(m) for m in modes])
+
+
+def date_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges of dates in one form, and whether they look like ranges."""
+    o = F.col("o_orderdate")
+    month, day, year = dt.month_name(F.month(o)), F.dayofmonth(o).cast("string"), F.year(o).cast("string")
+    k = F.col("o_orderkey") % 4
+    text = (
+        F.when(k == 0, F.concat(month, F.lit(" "), day, F.lit(" – 31, "), year)).when(k == 1, F.concat(month, F.lit(" "), day, F.lit(" through June 3, "), year))
+        .when(k == 2, F.concat(F.lit("available at "), month, F.lit(" "), day, F.lit(", "), year)).otherwise("at the lake")
+    )
+    return table(spark, d, "orders").select("o_orderkey", rv.date_range(text).alias("range")).select("o_orderkey", "range", rv.valid_date_range(F.col("range")).alias("valid"))
+
+
 def _typed_of(*fields: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return typed(spark, d).where(F.col("field").isin(*fields)).select(*KEYS, "field", "value")
@@ -145,7 +201,7 @@ def feed_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def override(spark: SparkSession, d: str) -> DataFrame:
-    classified = classify.legacy_rows(corpora(spark, d), KEYS)
+    classified = classify.legacy_rows(settle(corpora(spark, d)), KEYS)
     return merge.override(rules(spark, d), classified, KEYS)
 
 
@@ -154,7 +210,7 @@ def page_limit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_exclusions(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpora(spark, d)
+    rows = settle(corpora(spark, d))
     return classify.page_exclusions(classify.page_limit(rows, KEYS), rows, KEYS)
 
 
@@ -168,7 +224,7 @@ def first_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 def policy_class(spark: SparkSession, d: str) -> DataFrame:
-    return classify.policy_class(corpora(spark, d), KEYS)
+    return classify.policy_class(settle(corpora(spark, d)), KEYS)
 
 
 def _requirements(spark: SparkSession, d: str) -> DataFrame:
@@ -199,11 +255,11 @@ def tracks(spark: SparkSession, d: str) -> DataFrame:
 def extractor_histogram(spark: SparkSession, d: str) -> DataFrame:
     from folioforge.operators.reports import histogram
 
-    return histogram(classify.policy_class(corpora(spark, d), KEYS), ["policy", "label", "confidence"])
+    return histogram(classify.policy_class(settle(corpora(spark, d)), KEYS), ["policy", "label", "confidence"])
 
 
 def legacy_rows(spark: SparkSession, d: str) -> DataFrame:
-    return classify.legacy_rows(corpora(spark, d), KEYS)
+    return classify.legacy_rows(settle(corpora(spark, d)), KEYS)
 
 
 def batch_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -258,10 +314,29 @@ _PLACE = "CASE c_custkey % 8 WHEN 0 THEN 'Vancouver Convention Center, Town0, '
 _TITLE = "array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 _NATION = f"CASE n_name WHEN 'UNITED STATES' THEN 'US' WHEN 'UNITED KINGDOM' THEN 'UK' ELSE {_TITLE} END"
 _WHERE = "contains({0}, 'authors') OR contains({0}, 'for') OR contains({0}, 'the')"
-_POLICY_SCORES = f"p AS (SELECT entity, year, grp, label, label_no, sum(len(regexp_extract_all(text, '(?is)' || rx))) AS score FROM corp, {_labels(cp.POLICIES)} WHERE regexp_matches(text, '(?is)' || rx) GROUP BY ALL), pc AS (SELECT entity, year, grp AS policy, label, score::BIGINT AS score, CASE WHEN score >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY entity, year, grp ORDER BY (grp = 'llm_policy' AND label = 'required_disclosure') DESC, score DESC, label_no) AS r FROM p) WHERE r = 1)"
+
+
+def _windows_sql(around: int) -> str:
+    """The first two matches m of text, of which p are the pieces between, with so many signs around them."""
+    one = []
+    for i in (1, 2):
+        start = f"(list_sum(list_transform(p[1:{i}], lambda x: length(x))) + {'length(m[1])' if i == 2 else '0'} + 1)::INT"
+        begin = f"greatest(1, {start} - {around})"
+        one.append(f"CASE WHEN len(m) >= {i} THEN regexp_replace(substring(text, {begin}, {start} - {begin} + length(m[{i}]) + {around}), '^\\s+|\\s+$', '', 'g') END")
+    return f"list_filter([{', '.join(one)}], lambda x: x IS NOT NULL)"
+
+
+_EVIDENCE = "array_to_string(flatten(list(w ORDER BY label_no, pattern_no))[1:2], '; ')"
+_NONE = _values([(g, "not_mentioned" if "not_mentioned" in labels else "unknown") for g, labels in cp.POLICIES.items()], "policy, none")
+_POLICY_SCORES = (
+    f"pm AS (SELECT entity, year, grp AS policy, label, label_no, pattern_no, text, regexp_extract_all(text, '(?is)' || rx) AS m, regexp_split_to_array(text, '(?is)' || rx) AS p FROM corp, {_labels(cp.POLICIES)} WHERE regexp_matches(text, '(?is)' || rx)), "
+    f"pw AS (SELECT *, {_windows_sql(30)} AS w FROM pm), pe AS (SELECT entity, year, policy, {_EVIDENCE} AS evidence FROM pw GROUP BY 1, 2, 3), ps AS (SELECT entity, year, policy, label, label_no, sum(len(m)) AS score FROM pm GROUP BY ALL), "
+    "pb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, year, policy ORDER BY (policy = 'llm_policy' AND label = 'required_disclosure') DESC, score DESC, label_no) AS r FROM ps) WHERE r = 1), "
+    f"pc AS (SELECT entity, year, policy, coalesce(label, none) AS label, coalesce(score, 0)::BIGINT AS score, CASE WHEN score IS NULL THEN 'low' WHEN score >= 3 THEN 'high' ELSE 'medium' END AS confidence, coalesce(evidence, '') AS evidence FROM corp CROSS JOIN {_NONE} LEFT JOIN pb USING (entity, year, policy) LEFT JOIN pe USING (entity, year, policy))"
+)
 _FIRST = f"fl AS (SELECT entity, year, grp AS policy, lower(arg_min(label, label_no)) AS label FROM (SELECT entity, year, text || CASE WHEN year % 2 = 0 THEN ' Rebuttals are allowed. Papers may be desk rejected.' ELSE ' No rebuttals. Reciprocal reviewing applies.' END AS text FROM corp), {_labels({'rebuttal': cp.REBUTTAL, 'desk_rejection': cp.DESK_REJECTION, 'reciprocal_review': cp.RECIPROCAL})} WHERE regexp_matches(text, '(?i)' || rx) GROUP BY 1, 2, 3)"
-def _typed_sql(fields: str) -> str:
-    return RULES + f" SELECT entity, year, field, value FROM typed WHERE field IN ({fields})"
+def _typed_sql(*fields: str) -> str:
+    return RULES + f" SELECT entity, year, field, value FROM typed WHERE field IN ({', '.join(map(repr, fields))})"
 
 
 
@@ -269,11 +344,20 @@ QUERIES = {
     "corpus": (corpus, RULES + " SELECT entity, year, text FROM corp"),
     "pattern_scan": (pattern_scan, RULES + " SELECT entity, year, field, pattern_idx, name, start, match FROM scan"),
     "default_fill": (default_fill, RULES + " SELECT entity, year, field, category, type, priority, value, evidence FROM rules"),
-    "rule_boolean": (_typed_of("double_blind", "single_blind", "rebuttal_allowed", "has_tutorials"), _typed_sql("'double_blind', 'single_blind', 'rebuttal_allowed', 'has_tutorials'")),
-    "rule_enum": (_typed_of("concurrent_submission"), _typed_sql("'concurrent_submission'")),
-    "rule_string": (_typed_of("conference_location"), _typed_sql("'conference_location'")),
-    "rule_date": (_typed_of("submission_deadline"), _typed_sql("'submission_deadline'")),
-    "rule_pages": (_typed_of("page_limit"), _typed_sql("'page_limit'")),
+    **{f"rule_{kind}": (_typed_of(*_of_kind(kind)), _typed_sql(*_of_kind(kind))) for kind in ("boolean", "enum", "date", "list")},
+    "rule_string": (_typed_of("conference_location", "publication_venue"), _typed_sql("conference_location", "publication_venue")),
+    "rule_pages": (_typed_of("page_limit"), _typed_sql("page_limit")),
+    "rule_number": (rule_number, RULES + " SELECT entity, year, CASE WHEN regexp_extract(match, '\\d+')::BIGINT BETWEEN 7 AND 11 THEN regexp_extract(match, '\\d+') ELSE 'unknown' END AS value FROM typed WHERE field = 'page_limit'"),
+    "stale_dates": (stale_dates, RULES + f" SELECT entity, year, field, CASE WHEN regexp_extract(value, '\\b(\\d{{4}})\\b', 1) <> '' AND nullif(regexp_extract(value, '\\b(\\d{{4}})\\b', 1), '')::INT < {_AS_OF - 2} THEN 'unknown' ELSE value END AS value FROM typed WHERE field IN ({', '.join(map(repr, _of_kind('date')))})"),
+    "locations": (locations, RULES + " SELECT entity, year, string_split(value, ', ')[1] AS city, CASE string_split(value, ', ')[2] WHEN 'United States' THEN 'US' WHEN 'United Kingdom' THEN 'UK' ELSE string_split(value, ', ')[2] END AS country FROM typed WHERE field = 'conference_location' AND value <> 'unknown'"),
+    "known_modes": (
+        known_modes,
+        RULES + " SELECT field, count(*) FILTER (WHERE value <> 'unknown') AS quality, count(*) FILTER (WHERE value NOT IN ('unknown', '')) AS report, count(*) FILTER (WHERE value NOT IN ('unknown', '', 'not_mentioned')) AS site, count(*) FILTER (WHERE lower(value) NOT IN ('unknown', '', 'not_mentioned', 'none')) AS display FROM rules GROUP BY 1",
+    ),
+    "date_ranges": (
+        date_ranges,
+        f"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN m || ' ' || dd || ' - 31, ' || yy WHEN 1 THEN m || ' ' || dd || CASE WHEN mm = 6 THEN ' - 3, ' ELSE ' - June 3, ' END || yy WHEN 2 THEN 'available at ' || m || ' ' || dd || ', ' || yy ELSE 'at the lake' END AS range, o_orderkey % 4 < 2 AS valid FROM {_ORD}",
+    ),
     # Sentence windows by position aren't worth a twin; tests hold them against brute force.
     "evidence": (evidence, None),
     "snippets": (
@@ -284,7 +368,7 @@ QUERIES = {
     ),
     "negation": (
         negation,
-        POLICY + " SELECT contains(text, 'not allowed') AS negated, false AS rebuttal_negated, count(*) AS n FROM policy GROUP BY 1",
+        POLICY + " SELECT contains(text, 'not allowed') AS negated, starts_with(text, 'No rebuttals') AS rebuttal_negated, count(*) AS n FROM policy GROUP BY 1, 2",
     ),
     "cleaners": (
         cleaners,
@@ -318,12 +402,14 @@ QUERIES = {
     "review_class": (
         review_class,
         POLICY
-        + f", h AS (SELECT source_key, label, label_no, unnest(regexp_extract_all(text, '(?i)' || rx)) AS m FROM policy, {_labels({'review': cp.REVIEW})} WHERE regexp_matches(text, '(?i)' || rx)), s AS (SELECT source_key, label, label_no, sum({_REVIEW_W})::DOUBLE AS score FROM h GROUP BY 1, 2, 3), "
+        + f", rm AS (SELECT source_key, text, label, label_no, pattern_no, regexp_extract_all(text, '(?i)' || rx) AS m, regexp_split_to_array(text, '(?i)' || rx) AS p FROM policy, {_labels({'review': cp.REVIEW})} WHERE regexp_matches(text, '(?i)' || rx)), "
+        f"e AS (SELECT source_key, {_EVIDENCE} AS evidence FROM (SELECT *, {_windows_sql(50)} AS w FROM rm) GROUP BY 1), h AS (SELECT source_key, label, label_no, unnest(m) AS m FROM rm), s AS (SELECT source_key, label, label_no, sum({_REVIEW_W})::DOUBLE AS score FROM h GROUP BY 1, 2, 3), "
         "r AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY score DESC, label_no) AS r, coalesce(lead(score) OVER (PARTITION BY source_key ORDER BY score DESC, label_no), 0.0::DOUBLE) AS second FROM s) "
-        "SELECT source_key, label, score, second, CASE WHEN score >= 3 THEN 'high' WHEN score = 2 AND second = 0 THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE r = 1",
+        "SELECT p.source_key, coalesce(label, 'unknown') AS label, coalesce(score, 0.0)::DOUBLE AS score, coalesce(second, 0.0)::DOUBLE AS second, CASE WHEN score >= 3 THEN 'high' WHEN score = 2 AND second = 0 THEN 'medium' ELSE 'low' END AS confidence, coalesce(evidence, '') AS evidence "
+        "FROM policy p LEFT JOIN (SELECT * FROM r WHERE r = 1) r USING (source_key) LEFT JOIN e USING (source_key)",
     ),
     "first_label": (first_label, RULES + f", {_FIRST} SELECT entity, year, policy, label FROM fl"),
-    "policy_class": (policy_class, RULES + f", {_POLICY_SCORES} SELECT entity, year, policy, label, score, confidence FROM pc"),
+    "policy_class": (policy_class, RULES + f", {_POLICY_SCORES} SELECT entity, year, policy, label, score, confidence, evidence FROM pc"),
     "statements": (
         statements,
         _REQ + f", s AS (SELECT DISTINCT entity, year, label, label_no FROM req, {_labels({'s': cp.STATEMENTS})} WHERE regexp_matches(text, '(?i)' || rx)) SELECT entity, year, string_agg(label, ',' ORDER BY label_no) AS types, CASE WHEN count(*) >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM s GROUP BY 1, 2",

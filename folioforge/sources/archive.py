@@ -18,7 +18,7 @@ def read_texts(spark: SparkSession, folder: str, year: int | None = None) -> Dat
     path = F.col("_metadata.file_path")
     part = lambda k: F.regexp_extract(path, r"([^/]+)/(\d{4})/([^/]+)\.txt$", k)
     rows = got.select(part(1).alias("conf"), part(2).cast("int").alias("year"), part(3).alias("source_key"), F.col("value").alias("text"))
-    rows = rows.where((F.col("conf") != "") & (F.trim("text") != ""))
+    rows = rows.where((F.col("conf") != "") & F.col("text").rlike(r"\S"))
     return rows if year is None else rows.where(F.col("year") == year)
 
 

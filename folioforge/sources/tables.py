@@ -20,27 +20,79 @@ def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Sentences of policy; {date}, {month} and {range} stand for dates, {n} for a number, {place} for a city and its country.
+SENTENCES = [
+    "Submission deadline: {date}.",
+    "Submissions are limited to {n} pages, excluding references.",
+    "The review process is double-blind.",
+    "Reviewers remain anonymous; single-blind review.",
+    "Concurrent submissions are not allowed.",
+    "The event will be held in {place}.",
+    "Authors may submit a rebuttal. Call for tutorials.",
+    "Abstract deadline: {date}.",
+    "Notification date: {date}.",
+    "Camera-ready deadline: {date}.",
+    "Conference dates: {range}.",
+    "Rebuttal deadline: {month}.",
+    "Withdrawal deadline: TBA.",
+    "Registration deadline: {date}.",
+    "Open peer review on OpenReview.",
+    "Papers out of scope may be desk rejected; reciprocal reviewing applies.",
+    "The LaTeX template is required.",
+    "Supplementary material is allowed.",
+    "ArXiv preprints are allowed.",
+    "Papers appear in the Proceedings of Machine Learning Research.",
+    "An ethics statement is required.",
+    "Artifact evaluation is mandatory.",
+    "Use of ChatGPT must be disclosed.",
+    "A hybrid conference with oral presentations and poster presentations.",
+    "Travel grants are available. Co-located workshops.",
+    "Submit through EasyChair.",
+    "Call for workshop proposals, call for demos, call for posters.",
+    "An industry track, position papers and a student research competition.",
+    "A doctoral consortium, findings papers and a best paper award.",
+    "No rebuttals this year, and no supplementary material.",
+]
+
+
 def policy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, year, source_key, k, text): a sentence of policy for each order."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     rows = _dated(spark, sf_dir).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    k = F.col("o_orderkey") % 7
-    text = (
-        F.when(k == 0, F.concat(F.lit("Submission deadline: "), F.col("shown"), F.lit(".")))
-        .when(k == 1, F.concat(F.lit("Submissions are limited to "), (6 + F.col("o_orderkey") % 7).cast("string"), F.lit(" pages, excluding references.")))
-        .when(k == 2, F.lit("The review process is double-blind."))
-        .when(k == 3, F.lit("Reviewers remain anonymous; single-blind review."))
-        .when(k == 4, F.lit("Concurrent submissions are not allowed."))
-        .when(k == 5, F.concat(F.lit("The event will be held in City"), F.col("n_nationkey").cast("string"), F.lit(", "), F.col("n_name"), F.lit(".")))
-        .otherwise(F.lit("Authors may submit a rebuttal. Call for tutorials."))
-    )
-    return rows.select("entity", "year", F.concat(F.lit("raw/"), F.col("o_orderkey").cast("string")).alias("source_key"), F.col("o_orderkey").alias("k"), text.alias("text"))
+    k, date = F.col("o_orderkey"), F.col("o_orderdate")
+    month, day, year = month_name(F.month(date)), F.dayofmonth(date) % 20 + 1, F.year(date).cast("string")
+    values = {
+        "date": F.col("shown"), "month": F.concat(month, F.lit(" "), year), "n": (6 + k % 7).cast("string"), "place": F.concat(F.lit("City"), F.col("n_nationkey").cast("string"), F.lit(", "), F.initcap("n_name")),
+        "range": F.concat(month, F.lit(" "), day.cast("string"), F.lit(" - "), (day + 3).cast("string"), F.lit(", "), year),
+    }
+    text = F.element_at(F.array(*map(F.lit, SENTENCES)), (k % len(SENTENCES) + 1).cast("int"))
+    for name, value in values.items():
+        text = F.replace(text, F.lit(f"{{{name}}}"), value)
+    return rows.select("entity", "year", F.concat(F.lit("raw/"), k.cast("string")).alias("source_key"), k.alias("k"), text.alias("text"))
+
+
+def _first_of(spark: SparkSession, sf_dir: str, rest: int) -> DataFrame:
+    """(entity, year, k, shown): the first order of each key among those whose key leaves this rest of 7."""
+    rows = _dated(spark, sf_dir).where(F.col("o_orderkey") % 7 == rest)
+    return rows.groupBy("entity", "year").agg(F.min(F.struct("o_orderkey", "shown")).alias("f")).select("entity", "year", F.col("f.o_orderkey").alias("k"), F.col("f.shown").alias("shown"))
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity, year, deadline, place): a structured feed of the same entities; deadlines agree with the text for even keys."""
-    rows = _dated(spark, sf_dir).where(F.col("o_orderkey") % 7 == 0)
-    first = rows.groupBy("entity", "year").agg(F.min(F.struct("o_orderkey", "shown")).alias("f"))
-    even = F.col("f.o_orderkey") % 2 == 0
-    return first.select("entity", "year", F.when(even, F.col("f.shown")).otherwise(F.concat(F.lit("January 1, "), F.col("year").cast("string"))).alias("deadline"), F.concat(F.lit("Town"), (F.col("f.o_orderkey") % 9).cast("string")).alias("place"))
+    """(entity, year, deadline, place, abstract, system): the more trusted feed; deadlines agree with the text for even keys."""
+    first = _first_of(spark, sf_dir, 0)
+    january = F.concat(F.lit("January 1, "), F.col("year").cast("string"))
+    return first.select(
+        "entity", "year", F.when(F.col("k") % 2 == 0, F.col("shown")).otherwise(january).alias("deadline"), F.concat(F.lit("Town"), (F.col("k") % 9).cast("string")).alias("place"), F.when(F.col("k") % 3 == 0, january).alias("abstract"),
+        F.element_at(F.array(F.lit("EasyChair"), F.lit("CMT")), (F.col("k") % 2 + 1).cast("int")).alias("system"),
+    )
+
+
+def second_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, year, deadline, place, notification, camera, dates): a feed that counts where the first one is silent."""
+    first = _first_of(spark, sf_dir, 1)
+    june = F.concat(F.lit("June 2, "), F.col("year").cast("string"))
+    return first.select(
+        "entity", "year", F.col("shown").alias("deadline"), F.concat(F.lit("Town"), (F.col("k") % 5).cast("string")).alias("place"), F.when(F.col("k") % 2 == 0, F.col("shown")).otherwise(june).alias("notification"), june.alias("camera"),
+        F.when(F.col("k") % 4 == 0, F.concat(F.lit("June 2 - 5, "), F.col("year").cast("string"))).alias("dates"),
+    )
