@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.sources.shared import settle, shared_folder
+
 #: Bits of the filter of ids that is broadcast, 8 MB whatever the input. It keeps rows at home that no later join wants; with many
 #: ids it fills up and lets more and more through. The joins behind it decide, so the plan and its rows are the same at every size.
 ID_BITS = 1 << 26
 #: Bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
 
+__all__ = ["settle", "shared_folder"]
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -33,26 +36,6 @@ def slim_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines share.
-
-    Only a session on one machine (local[...]), as in tests, may leave it unset; its checkpoints then go to a folder of its own.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, so that lost executors don't cost its history."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads the bits of 64-bit words."""
     h = (h ^ (h >> np.uint64(30))) * _M1
