@@ -1,7 +1,7 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers that they don't know.
 
-The base spans (e-mail, IP, card, phone) are the seeds. The words before an instance make lexical patterns: the last word, and the
-last two. Spark scores the graph of patterns and instances (values) in rounds: a pattern's score is the weight of known values among
+The base spans (e-mail, IP, card, phone) are the seeds. The words around an instance make lexical patterns: the last word before it, the
+last two, and the words on both sides. Spark scores the graph of patterns and instances (values) in rounds: a pattern's score is the weight of known values among
 all its occurrences before anything in the whole corpus, and a value that isn't a seed gets the best score of its accepted patterns,
 which raises further patterns, also those that no seed stands behind. A pattern is accepted with MIN_VALUES different known values
 and a score of MIN_SCORE; values of accepted patterns are identifiers wherever they occur as whole tokens. Scores only rise; rounds
@@ -11,7 +11,8 @@ counted for the patterns that known values newly reach, but for those whose inst
 Instances are tokens with a digit, of 5 to 64 signs without the punctuation around them, that overlap no base span.
 
 Defined cases: null is empty; rows repeat as they come, each with its spans; ids play no part in the search; other columns are
-ignored; with no seeds or too few there are just the base spans.
+ignored; with no seeds or too few there are just the base spans; an empty table gives no rows; very long texts are taken whole; equal
+texts get equal spans. redact() tells rows apart by id and text, so rows without an id and unlike texts of one id keep their own spans.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import _STEP, encoded, has_bit, id_bits, row_key, settle, sliced, chunked, mix, word_hashes
+from folioforge.llm.common import _STEP, encoded, has_bit, id_bits, row_key, settle, sliced, slim_batches, chunked, mix, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "id")
 MIN_VALUES, MIN_SCORE, SETTLED = 5, 0.5, 0.001
@@ -78,8 +79,13 @@ def pattern_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, mix(words[:-2] * _STEP + words[1:-1] + np.uint64(2)) if len(words) > 2 else words[:0]
 
 
-def _instances(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, bool, list[bytes]]]:
-    """(start, end, value, is a seed, up to two words before) of the seeds and of the other tokens with a digit."""
+def frame_keys(words: np.ndarray) -> np.ndarray:
+    """For each word but the first and the last: the pattern of the words on both sides."""
+    return mix(mix(words[:-2] * _STEP + np.uint64(3)) + words[2:]) if len(words) > 2 else words[:0]
+
+
+def _instances(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, bool, list[bytes], list[bytes]]]:
+    """(start, end, value, is a seed, up to two words before, the word behind) of the seeds and of the other tokens with a digit."""
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     begins = [a for a, _ in tokens]
     taken = sorted((a, b) for _, a, b in base)
@@ -87,8 +93,11 @@ def _instances(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
     def before(k: int) -> list[bytes]:
         return [text[a:b].encode("utf-8", "surrogatepass") for a, b in tokens[max(0, k - 2) : k]]
 
+    def behind(k: int) -> list[bytes]:
+        return [text[a:b].encode("utf-8", "surrogatepass") for a, b in tokens[k : k + 1]]
+
     for a, b in taken:
-        yield a, b, text[a:b].lower(), True, before(bisect.bisect_right(begins, a) - 1)
+        yield a, b, text[a:b].lower(), True, before(bisect.bisect_right(begins, a) - 1), behind(bisect.bisect_left(begins, b))
     j = 0
     for k, (a, b) in enumerate(tokens):
         while j < len(taken) and taken[j][1] <= a:
@@ -99,7 +108,7 @@ def _instances(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
         left = a + len(core) - len(core.lstrip(_AROUND))
         value = core.strip(_AROUND)
         if 5 <= len(value) <= 64:
-            yield left, left + len(value), value.lower(), False, before(k)
+            yield left, left + len(value), value.lower(), False, before(k), behind(k + 1)
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -114,21 +123,23 @@ def _scan(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 found = []
                 if base or _DIGIT.search(text):
-                    for a, z, value, seed, words in _instances(text, base):
-                        hashes = word_hashes(words)[0] if words else np.zeros(0, np.uint64)
-                        one, two = pattern_keys(np.append(hashes, np.uint64(0)))
-                        found.append((a, z, value, seed, int(one[-1:].view(np.int64)[0]) if len(one) else None, int(two[-1:].view(np.int64)[0]) if len(two) else None))
+                    for a, z, value, seed, words, after in _instances(text, base):
+                        hashes = word_hashes([*words, *after])[0]
+                        own = np.concatenate([hashes[: len(words)], np.zeros(1, np.uint64), hashes[len(words) :]])
+                        one, two = pattern_keys(own[: len(words) + 1])
+                        frame = frame_keys(own[len(words) - 1 :]) if words and after else own[:0]
+                        found.append((a, z, value, seed, *(int(x[-1:].view(np.int64)[0]) if len(x) else None for x in (one, two, frame))))
                 rows.append((uid, None if pd.isna(doc_id) else int(doc_id), [(int(k), a, z) for k, a, z in base], found))
                 uid += 1
             out = pd.DataFrame(rows, columns=["uid", "doc_id", "base", "found"])
             yield out.astype({"doc_id": "Int64"})
 
     span = "kind: int, start: long, stop: long"
-    return docs.mapInPandas(run, f"uid long, doc_id long, base array<struct<{span}>>, found array<struct<start: long, stop: long, value: string, seed: boolean, one: long, two: long>>")
+    return docs.mapInPandas(run, f"uid long, doc_id long, base array<struct<{span}>>, found array<struct<start: long, stop: long, value: string, seed: boolean, one: long, two: long, frame: long>>")
 
 
 def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): how often each occurs before any word of the corpus; a bitmap of fixed size keeps other keys at home."""
+    """(pattern, total): how often each occurs around any word of the corpus; a bitmap of fixed size keeps other keys at home."""
     bits = docs.sparkSession.sparkContext.broadcast(id_bits(patterns))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,8 +151,8 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                     continue
                 place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
                 one, two = pattern_keys(words)
-                for keys in (one[place[1:] >= 1], two[place[2:] >= 2]):
-                    kept.append(keys if bits.value is None else keys[has_bit(bits.value, keys)])
+                for keys in (one[place[1:] >= 1], two[place[2:] >= 2], frame_keys(words)[place[2:] >= 2]):
+                    kept.append(keys[has_bit(bits.value, keys)])
             keys, total = np.unique(np.concatenate([*kept, np.zeros(0, np.uint64)]), return_counts=True)
             yield pd.DataFrame({"pattern": keys.view(np.int64), "total": total})
 
@@ -151,10 +162,11 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """(uid, doc_id, base, extra): arrays of (kind, start, stop) for each row; extra holds what the patterns add, of kind id."""
+    slim_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = settle(_scan(docs))
     found = rows.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
-    edges = found.select("value", "seed", F.explode(F.array("one", "two")).alias("pattern")).where("pattern is not null")
+    edges = found.select("value", "seed", F.explode(F.array("one", "two", "frame")).alias("pattern")).where("pattern is not null")
     edges = settle(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("c")))
     widely = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("c").alias("held")).where(F.col("values") >= MIN_VALUES).select("pattern", "held")
     edges = settle(edges.join(widely, "pattern"))
