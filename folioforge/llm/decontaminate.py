@@ -4,18 +4,20 @@ Words are runs of letters, digits and non-ASCII signs, in lower case. A document
 is within floor(edits * n) word edits (insert, delete, replace) of the whole item. With so few edits some run of q intact words is
 left (pigeonhole), which places the windows: each occurrence of an item's q-gram in a document gives the window of the item's
 length at that alignment. CGK walks (random walks that copy words and stall, shared by both sides) turn item and window into
-strings of thrice the length, whose Hamming distance follows the edit distance; TABLES samples of DRAWS positions in each of WALKS
+strings of thrice the length, whose Hamming distance follows the edit distance; samples of DRAWS positions (tables) in each of WALKS
 walks decide whether a pair goes on; the edit distance of item and surroundings then decides exactly.
 
-A window whose walks agree in half of the positions is missed by all tables with a chance under 1e-8; one that agrees in a
-quarter, in under 2 %.
+The number of tables follows from the wanted recall: enough that a window whose walks agree in AGREE of the positions is missed by all
+of them with a chance of at most 1 - RECALL. Windows that agree more are missed far less.
 
 Defined cases: null or wordless texts and items match nothing; repeated rows give repeated matches; rows without doc_id or item_id
-are left out of the matches; items beyond ITEM_BYTES together are taken in several blocks, one pass each; other columns are ignored.
+are left out of the matches (without_leaks() judges rows without doc_id too); without items or documents there are no matches; very long
+texts are taken whole; of several best runs the first counts; items beyond ITEM_BYTES together are taken in several blocks, one pass each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +25,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import chunked, mix, row_key, word_hashes
+from folioforge.llm.common import chunked, mix, row_key, sliced, slim_batches, word_hashes
 
-WALKS, TABLES, DRAWS = 4, 16, 2
+#: Walks; positions that a key draws; the recall that the tables must reach for windows whose walks agree in so large a share of positions.
+WALKS, DRAWS, RECALL, AGREE = 4, 2, 0.98, 0.25
 #: Bytes of items that are broadcast at once.
 ITEM_BYTES = 32 << 20
+
+
+def tables(recall: float = RECALL, agree: float = AGREE) -> int:
+    """Tables for each walk that reach the recall: all miss a window with chance (1 - agree^DRAWS)^(WALKS * tables)."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**DRAWS) / WALKS))
+
+
 _EDGE = np.ones(256, bool)
 _EDGE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -45,7 +55,8 @@ def _grams(words: np.ndarray, q: int) -> np.ndarray:
 class Items:
     """The items of one block, with their q-grams and their walks."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], edits: float):
+    def __init__(self, ids: list[int], texts: list[bytes], edits: float, recall: float = RECALL):
+        self.tables = tables(recall)
         words, first = word_hashes(texts, _EDGE)
         kept = [(i, words[a:b]) for i, a, b in zip(ids, first[:-1], first[1:]) if b > a]
         self.ids, self.words = np.array([i for i, _ in kept], np.int64), [w for _, w in kept]
@@ -94,20 +105,20 @@ class Items:
         return tuple(np.concatenate(found, axis=1))
 
     def sample(self, windows: np.ndarray) -> np.ndarray:
-        """windows x (WALKS * TABLES) LSH keys: DRAWS positions of the CGK string each; positions depend on the length alone."""
+        """windows x (WALKS * tables) LSH keys: DRAWS positions of the CGK string each; positions depend on the length alone."""
         n, length = windows.shape
         rng = np.random.default_rng(length)
         padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
         keys = []
         for walk in range(WALKS):
-            spots = rng.integers(0, 2 * length, (TABLES, DRAWS))
+            spots = rng.integers(0, 2 * length, (self.tables, DRAWS))
             taken = np.zeros((2 * length, n), np.uint64)
             at = np.zeros(n, np.int64)
             for step in range(2 * length):  # beyond it nearly all walks have ended
                 sign = padded[np.arange(n), at]
                 taken[step] = sign
                 at = np.minimum(at + (mix(sign ^ np.uint64(walk * 100_003 + step + 1)) & np.uint64(1)).astype(np.int64), length)
-            key = np.zeros((TABLES, n), np.uint64)
+            key = np.zeros((self.tables, n), np.uint64)
             for draw in range(DRAWS):
                 key = key * _STEPS[0] + taken[spots[:, draw]]
             keys.append(np.where((taken[spots] != 0).all(axis=1), key, mix(np.arange(n, dtype=np.uint64) + np.uint64(walk))))
@@ -169,19 +180,20 @@ def batch_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate(begins)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.25) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.25, recall: float = RECALL) -> DataFrame:
     """(doc_id, item_id, distance, similarity, begin_word, end_word): the best match of each item that a document leaks."""
     spark = docs.sparkSession
+    slim_batches(spark)
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     blocks = max(1, -(-int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // ITEM_BYTES))
     out = None
     for block in range(blocks):
         got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow().to_pandas().sort_values(["item_id", "text"])
-        shared = spark.sparkContext.broadcast(Items(got["item_id"].tolist(), normal(got["text"]), edits))
+        shared = spark.sparkContext.broadcast(Items(got["item_id"].tolist(), normal(got["text"]), edits, recall))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             known = shared.value
-            for b in batches:
+            for b in sliced(batches):
                 ids = b["doc_id"].tolist()
                 leaks = known.leaks(*batch_words(normal(b["text"]))) if len(known.words) else ()
                 rows = [(ids[i], known.ids[k], d, 1 - d / known.length[k], begin, end) for i, k, d, begin, end in leaks]
