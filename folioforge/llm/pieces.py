@@ -8,7 +8,10 @@ that of the words; each task segments each distinct word once, all words of a ba
 Decoding joins the pieces and bytes, turns markers into spaces and drops the one in front. It gives the text back, but for U+2581,
 which stands for a space there, as the model has it.
 
-Defined cases: null text has null ids and null decoded text; empty text has no ids; rows repeat as they come; other columns stay in encode() and are
+Of segmentations with equal scores the one found first counts, which depends on the text alone.
+
+Defined cases: null text has null ids and null decoded text; empty text has no ids; a text without spaces is one word, however long;
+an empty table gives no rows; rows repeat as they come; other columns stay in encode() and are
 ignored in piece_counts().
 """
 

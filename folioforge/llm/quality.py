@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import SPACE, encoded
+from folioforge.llm.common import SPACE, encoded, sliced, slim_batches
 
 #: The fit takes about so many labelled rows at most (chosen by a hash of doc_id), and so many pairs.
 MOST_LABELLED = 12_000
@@ -101,15 +101,16 @@ def labelled(labels: DataFrame, train: F.Column) -> DataFrame:
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & train)
     rows = rows.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     share = min(1.0, MOST_LABELLED / max(1, rows.count()))
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    return rows.where((F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) < share)  # a share of the hash's range, however small
 
 
 def train_ranker(docs: DataFrame, labels: DataFrame, train: F.Column) -> Ranker | None:
     """Fit on the bounded sample; its features are counted by Spark where the texts are, the mean of an id's rows for each id."""
+    slim_batches(docs.sparkSession)
     sample = labelled(labels, train).withColumnRenamed("doc_id", "_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches):
             yield pd.DataFrame({"id": b["doc_id"], "label": b["label"], "x": [features(t) for t in encoded(b["text"])]})
 
     # At most about MOST_LABELLED rows of two numbers: broadcast, so that texts stay where they are.
@@ -124,6 +125,7 @@ def train_ranker(docs: DataFrame, labels: DataFrame, train: F.Column) -> Ranker
 
 def score_quality(docs: DataFrame, ranker: Ranker | None) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 accepted, 0 rejected); docs' other columns stay."""
+    slim_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
