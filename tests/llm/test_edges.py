@@ -125,6 +125,22 @@ def test_neighbours_in_several_passes(spark, monkeypatch):
     assert one[one.query_id == 100].vec_id.tolist() == [101, 102, 103, 104, 105]
 
 
+def test_pii_by_the_words_on_both_sides(spark):
+    """Planted identifiers between two words that mark them only together: all are found, and nothing else is."""
+    rng = random.Random(12)
+    texts = [f"{words(rng, 4)} the 10.{k}.7.{k} badge {words(rng, 4)}" for k in range(30)]
+    texts += [f"{words(rng, 4)} the QX-{k}77{k} badge {words(rng, 4)}" for k in range(12)]
+    texts += [f"{words(rng, 4)} the {w} {words(rng, 1)} of the {w} {words(rng, 4)}" for w in words(rng, 80).split()] + [f"the 55{k}21 dog ran" for k in range(9)]
+    for r in pii.pii_digest(frame(spark, list(enumerate(texts)))).collect():
+        planted = 30 <= r["doc_id"] < 42
+        at = texts[r["doc_id"]].find("QX-")
+        assert (r["spans"].split(",")[-1].startswith(f"id:{at}:") if planted else "id:" not in r["spans"]), (texts[r["doc_id"]], r["spans"])
+
+
+def test_recall_of_tables_is_a_parameter():
+    assert decontaminate.tables(0.98, 0.25) == 16 and decontaminate.tables(0.9, 0.25) < 16 < decontaminate.tables(0.999, 0.25)
+
+
 # Pages.
 
 
