@@ -33,6 +33,11 @@ PAGE = [
     r"(?i)(?:the\s+)?first\s+(\d+)\s+pages?(?:\s+(?:should|must|will))",
 ]
 
+# What a page limit's own words exclude.
+OWN_REFERENCES = r"unlimited\s+(?:pages?\s+(?:for\s+)?)?references?|exclud(?:ing|ed)\s+references?|not\s+counting\s+references?|references?\s+(?:do\s+)?not\s+count|references?\s+(?:excluded|not\s+included)"
+OWN_APPENDICES = r"unlimited\s+(?:pages?\s+(?:for\s+)?)?appendices|exclud(?:ing|ed)\s+(?:appendices|appendix)|not\s+counting\s+(?:appendices|appendix)|appendices?\s+(?:do\s+)?not\s+count"
+OWN_BOUND = r"plus\s+(?:up\s+to\s+)?(\d+)\s+pages?\s+(?:for\s+|of\s+)?(references?|appendices)"
+
 # Fixed values.
 EXCLUSIONS = {
     'references': [

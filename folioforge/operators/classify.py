@@ -109,9 +109,7 @@ def page_limit(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 def page_exclusions(limits: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, kind, pages): what doesn't count to the limit, from the best match's words, else from the whole text."""
-    ref = r"unlimited\s+(?:pages?\s+(?:for\s+)?)?references?|exclud(?:ing|ed)\s+references?|not\s+counting\s+references?|references?\s+(?:do\s+)?not\s+count|references?\s+(?:excluded|not\s+included)|not\s+including\s+references?"
-    app = r"unlimited\s+(?:pages?\s+(?:for\s+)?)?appendices|exclud(?:ing|ed)\s+(?:appendices|appendix)|not\s+counting\s+(?:appendices|appendix)|appendices?\s+(?:do\s+)?not\s+count"
-    bound = r"plus\s+(?:up\s+to\s+)?(\d+)\s+pages?\s+(?:for\s+|of\s+)?(references?|appendices)"
+    ref, app, bound = c.OWN_REFERENCES, c.OWN_APPENDICES, c.OWN_BOUND
     low = F.lower("evidence")
     kind = F.when(F.startswith(F.regexp_extract(low, bound, 2), F.lit("ref")), "references").otherwise("appendices")
     entry = lambda k, p: F.struct(k.alias("kind"), p.alias("pages"))

@@ -339,6 +339,41 @@ def _typed_sql(*fields: str) -> str:
     return RULES + f" SELECT entity, year, field, value FROM typed WHERE field IN ({', '.join(map(repr, fields))})"
 
 
+_PAGES = _values(list(enumerate(cp.PAGE)), "idx, rx")
+_LIMITS = (
+    f"pm AS (SELECT entity, year, text, idx, regexp_extract_all(text, '(?i)' || rx) AS m, regexp_split_to_array(text, '(?i)' || rx) AS p FROM corp, {_PAGES} WHERE regexp_matches(text, '(?i)' || rx)), "
+    "pi AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM pm), pp AS (SELECT entity, year, text, idx, m[i] AS match, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + 1)::INT AS start FROM pi), "
+    r"pa AS (SELECT *, lower(substring(text, greatest(1, start - 100), start - greatest(1, start - 100) + length(match) + 100)) AS around, regexp_extract_all(match, '\d+') AS numbers FROM pp WHERE regexp_matches(match, '\d')), "
+    "pw AS (SELECT *, CASE WHEN idx < 7 THEN 100 ELSE 0 END + CASE WHEN regexp_matches(around, 'main paper|regular paper|full paper|research paper|submission') THEN 50 ELSE 0 END + CASE WHEN regexp_matches(around, 'poster|demo|workshop|abstract submission|extended abstract') THEN 0 ELSE 25 END + CASE WHEN numbers[1]::INT >= 6 THEN 20 ELSE 0 END AS weight FROM pa), "
+    "pl AS (SELECT entity, year, numbers[1] || ' pages' AS main_limit, match AS evidence, CASE WHEN idx < 7 THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY entity, year ORDER BY weight DESC, idx, start) AS r FROM pw) WHERE r = 1)"
+)
+#: What the whole texts exclude; no limit's own words name any here.
+_EXCLUDED = f"ex AS (SELECT entity, year, label AS kind, 'unlimited' AS pages FROM (SELECT DISTINCT entity, year, label FROM corp SEMI JOIN pl USING (entity, year), {_labels({'x': cp.EXCLUSIONS})} WHERE regexp_matches(text, '(?i)' || rx)))"
+_SENTENCES = (
+    "ev AS (SELECT s.*, text, substring(text, greatest(1, start - 200), start - greatest(1, start - 200)) AS lft, substring(text, start + length(match), 200) AS rgt FROM scan s JOIN corp USING (entity, year)), "
+    r"es AS (SELECT *, regexp_replace(CASE WHEN regexp_matches(lft, '[.!?\n]') THEN ltrim(regexp_extract(lft, '([^.!?\n]*)$', 1)) ELSE '' END || match || CASE WHEN regexp_matches(rgt, '[.!?\n]') THEN regexp_extract(rgt, '^([^.!?\n]*[.!?\n])', 1) ELSE '' END, '^\s+|\s+$', '', 'g') AS sentence FROM ev), "
+    r"ef AS (SELECT *, CASE WHEN contains(sentence, '  ') THEN regexp_replace(sentence, '\s+', ' ', 'g') ELSE sentence END AS shown, regexp_extract_all(lft, '\S+') AS before, regexp_extract_all(rgt, '\S+') AS after FROM es)"
+)
+
+
+def _review_sql(source: str, key: str) -> str:
+    """The review classifier over a table of texts: rr has the best label of each key that has one."""
+    return (
+        f"rq AS (SELECT {key}, text, label, label_no, pattern_no, regexp_extract_all(text, '(?i)' || rx) AS m FROM {source}, {_labels({'review': cp.REVIEW})} WHERE regexp_matches(text, '(?i)' || rx)), rh AS (SELECT {key}, label, label_no, unnest(m) AS m FROM rq), "
+        f"rs AS (SELECT {key}, label, label_no, sum({_REVIEW_W})::DOUBLE AS score FROM rh GROUP BY ALL), rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, label_no) AS r FROM rs) WHERE r = 1)"
+    )
+
+
+_FIRST_PLAIN = f"fp AS (SELECT entity, year, grp AS policy, lower(arg_min(label, label_no)) AS label FROM corp, {_labels({'rebuttal': cp.REBUTTAL, 'desk_rejection': cp.DESK_REJECTION, 'reciprocal_review': cp.RECIPROCAL})} WHERE regexp_matches(text, '(?i)' || rx) GROUP BY 1, 2, 3)"
+_LEGACY = (
+    f"{_review_sql('corp', 'entity, year')}, {_LIMITS.replace('pm AS', 'pgm AS').replace('FROM pm)', 'FROM pgm)').replace('pi AS', 'pgi AS').replace('FROM pi)', 'FROM pgi)').replace('pw AS', 'pgw AS').replace('FROM pw)', 'FROM pgw)')}, {_POLICY_SCORES}, {_FIRST_PLAIN}, "
+    "legacy AS (" + " UNION ALL ".join(f"SELECT entity, year, '{f}' AS field, CASE WHEN label = '{f}' THEN 'true' ELSE 'false' END AS value FROM rr" for f in ("double_blind", "single_blind", "open_review")) + " "
+    "UNION ALL SELECT entity, year, 'page_limit', main_limit FROM pl UNION ALL SELECT entity, year, policy, label FROM pc WHERE score > 0 "
+    "UNION ALL SELECT entity, year, CASE policy WHEN 'rebuttal' THEN 'rebuttal_allowed' ELSE policy END, CASE policy WHEN 'rebuttal' THEN (label = 'allowed')::VARCHAR WHEN 'desk_rejection' THEN (label = 'yes')::VARCHAR ELSE label END FROM fp "
+    f"UNION ALL SELECT DISTINCT entity, year, label, 'true' FROM corp, {_labels({'t': cp.TRACKS})} WHERE regexp_matches(text, '(?i)' || rx))"
+)
+
+
 
 QUERIES = {
     "corpus": (corpus, RULES + " SELECT entity, year, text FROM corp"),
@@ -358,8 +393,10 @@ QUERIES = {
         date_ranges,
         f"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN m || ' ' || dd || ' - 31, ' || yy WHEN 1 THEN m || ' ' || dd || CASE WHEN mm = 6 THEN ' - 3, ' ELSE ' - June 3, ' END || yy WHEN 2 THEN 'available at ' || m || ' ' || dd || ', ' || yy ELSE 'at the lake' END AS range, o_orderkey % 4 < 2 AS valid FROM {_ORD}",
     ),
-    # Sentence windows by position aren't worth a twin; tests hold them against brute force.
-    "evidence": (evidence, None),
+    "evidence": (
+        evidence,
+        RULES + f", {_SENTENCES} SELECT entity, year, field, '...' || CASE WHEN length(shown) <= 150 THEN shown ELSE trim(concat_ws(' ', array_to_string(before[greatest(1, len(before) - 2):], ' '), match, array_to_string(after[1:3], ' '))) END || '...' AS evidence FROM ef",
+    ),
     "snippets": (
         snippets,
         RULES
@@ -393,12 +430,12 @@ QUERIES = {
         f"SELECT c_custkey, length(raw) BETWEEN 5 AND 100 AND contains(raw, ',') AND len(string_split(raw, ' ')) BETWEEN 2 AND 5 AS valid FROM (SELECT c_custkey, {_PLACE} AS raw FROM customer JOIN nation ON c_nationkey = n_nationkey)",
     ),
     "feed_join": (feed_join, RULES + " SELECT entity, year, field, value, source, conflict FROM merged"),
-    "page_limit": (
-        page_limit,
-        None,
+    "page_limit": (page_limit, RULES + f", {_LIMITS} SELECT entity, year, main_limit, evidence, confidence FROM pl"),
+    "page_exclusions": (page_exclusions, RULES + f", {_LIMITS}, {_EXCLUDED} SELECT entity, year, kind, pages FROM ex"),
+    "override": (
+        override,
+        RULES + f", {_LEGACY}, known AS (SELECT * FROM legacy WHERE coalesce(value, 'unknown') NOT IN ('unknown', '', 'false', 'not_mentioned')) SELECT entity, year, field, coalesce(k.value, r.value) AS value, CASE WHEN k.value IS NOT NULL THEN 'classifier' ELSE 'regex' END AS origin FROM rules r FULL JOIN known k USING (entity, year, field)",
     ),
-    "page_exclusions": (page_exclusions, None),
-    "override": (override, None),
     "review_class": (
         review_class,
         POLICY
@@ -430,7 +467,7 @@ QUERIES = {
         _REQ + f", s AS (SELECT DISTINCT entity, year, label AS track FROM req, {_labels({'t': cp.TRACKS})} WHERE regexp_matches(text, '(?i)' || rx)) SELECT entity, year, track, CASE WHEN count(*) OVER (PARTITION BY entity, year) >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM s",
     ),
     "extractor_histogram": (extractor_histogram, RULES + f", {_POLICY_SCORES} SELECT policy, label, confidence, count(*) AS n FROM pc GROUP BY 1, 2, 3"),
-    "legacy_rows": (legacy_rows, None),
+    "legacy_rows": (legacy_rows, RULES + f", {_LEGACY} SELECT entity, year, field, value FROM legacy"),
     "batch_pack": (
         batch_pack,
         "WITH RECURSIVE s AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS i FROM conversations WHERE text IS NOT NULL), "
