@@ -145,7 +145,7 @@ def evidence(text: Column, start: Column, stop: Column, most: int = 150, window:
     left = F.substring(text, F.greatest(F.lit(1), start - window), start - F.greatest(F.lit(1), start - window))
     right = F.substring(text, stop, F.lit(window))
     matched = F.substring(text, start, stop - start)
-    head = F.when(left.rlike(r"[.!?\n]"), F.ltrim(F.regexp_extract(left, r"([^.!?\n]*)$", 1))).otherwise(F.lit(""))
+    head = F.when(left.rlike(r"[.!?\n]"), F.ltrim(F.regexp_extract(left, r"([^.!?\n]*)\z", 1))).otherwise(F.lit(""))
     tail = F.when(right.rlike(r"[.!?\n]"), F.regexp_extract(right, r"^([^.!?\n]*[.!?\n])", 1)).otherwise(F.lit(""))
     sentence = F.regexp_replace(F.concat(head, matched, tail), r"^\s+|\s+$", "")
     sentence = F.when(F.contains(sentence, F.lit("  ")), F.regexp_replace(sentence, r"\s+", " ")).otherwise(sentence)
