@@ -163,14 +163,17 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> F.Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links to (id, component): the smallest id reachable. Min-label rounds with pointer jumping, each settled; every join is on a key."""
+    """(a, b) links to (id, component): the smallest id reachable. Min-label rounds with pointer jumping, each settled; every join is on a key.
+
+    Sort-merge joins throughout, as the tables are large at scale; small ones would only fill the driver with broadcasts.
+    """
     both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        near = both.join(labels.select(F.col("id").alias("b"), "component").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        step = labels.join(near.hint("merge"), "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         hop = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        moved = settle(step.join(hop, "component", "left").select("id", "old", F.least("component", "further").alias("component")))
+        moved = settle(step.join(hop.hint("merge"), "component", "left").select("id", "old", F.least("component", "further").alias("component")))
         labels = moved.select("id", "component")
         if moved.where("old <> component").isEmpty():
             return labels
