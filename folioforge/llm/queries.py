@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.llm import exact_copies, hard_negatives, prefix_trie, secret_scan
 from folioforge.llm.common import table
 from folioforge.llm.decontaminate import find_leaks
 from folioforge.llm.language import language_scores
@@ -16,7 +17,6 @@ from folioforge.llm.pieces import piece_counts
 from folioforge.llm.pii import pii_digest
 from folioforge.llm.quality import quality_scores
 from folioforge.llm.repeats import repeats_digest
-from folioforge.llm.secret_scan import oracle_sql, secrets_digest
 from folioforge.llm.wrappers import extract
 
 
@@ -33,7 +33,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets_digest(table(spark, sf_dir, "documents"))
+    return secret_scan.secrets_digest(table(spark, sf_dir, "documents"))
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies.find_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_html": op2_html,
@@ -71,7 +83,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontaminate": op9_decontaminate,
     "op10_ngram_join": op10_ngram_join,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_exact_copies": op13_exact_copies,
 }
 
 #: Where SQL can say it; the others are tested against brute force, round trips or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op4_secrets": oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op4_secrets": secret_scan.oracle_sql(),
+    "op11_hard_negatives": hard_negatives.oracle_sql(),
+    "op12_prefix_trie": prefix_trie.oracle_sql(),
+    "op13_exact_copies": exact_copies.oracle_sql(),
+}
