@@ -66,8 +66,8 @@ class Packed:
         self.n, self.dim = c.shape
         self.bias = -min(0, int(c.min())) if c.size else 0
         most = (int(c.max()) + self.bias) * top * self.dim if c.size else 0
-        self.bytes = 4 if most < 1 << 32 else 8 if most < 1 << 63 else -(-(most.bit_length() + 1) // 8)
-        self.sums = c.sum(axis=1)
+        self.bytes = 4 if most < 1 << 32 else 8 if most < 1 << 61 else -(-(most.bit_length() + 1) // 8)
+        self.sums = (c if self.bytes <= 8 else c.astype(object)).sum(axis=1)
         self.wide = [self._joined(c[:, d] + self.bias) for d in range(self.dim)]
 
     def _joined(self, fields: np.ndarray) -> int:
