@@ -18,7 +18,6 @@ from folioforge.functions.fixed import (
     TEXT_WEIGHTS,
     URL_WEIGHTS,
 )
-from folioforge.sources.shared import settle
 from folioforge.functions.text import absolute, any_contains, occurrences, path_parts, url_host, url_path, weighted
 
 
@@ -151,26 +150,3 @@ def link_admissible(src: Column, dst: Column, anchor: Column, depth: Column, hom
     """Same host, not skipped; below the first level under the homepage's path, or with a link word."""
     deeper = F.startswith(url_path(dst), home_path) | link_related(dst, anchor)
     return (url_host(src) == url_host(dst)) & ~skip_url(dst) & ((depth == 0) | deeper)
-
-
-def frontier(pages: DataFrame, links: DataFrame, depth: int = 3, most: int = 15, seeds: DataFrame | None = None) -> DataFrame:
-    """(host, url, depth, priority, place): a bounded walk over stored pages, level by level.
-
-    It starts at each host's page with the smallest id and at the seeds (host, url). A level joins the pages reached so far with their
-    links; what was reached before is left out; each level is settled, so that none is computed again. Within a host, pages rank by
-    (priority, depth, address), a level-wise form of best-first order.
-    """
-    first = pages.where("url is not null").groupBy(url_host(F.col("url")).alias("host")).agg(F.min(F.struct("page_id", "url")).alias("p"))
-    begin = first.select("host", F.col("p.url").alias("url"))
-    begin = begin if seeds is None else begin.union(seeds.select("host", "url")).distinct()
-    reached = level = settle(begin.select("host", "url", F.lit(0).alias("depth"), F.lit(0).alias("priority")))
-    edges = settle(links.select("src", "dst", "anchor"))
-    home = settle(first.select("host", url_path(F.col("p.url")).alias("home_path")))
-    for d in range(1, depth + 1):
-        near = level.join(edges, level["url"] == edges["src"]).join(home, "host")
-        near = near.where(link_admissible(F.col("src"), F.col("dst"), F.col("anchor"), F.lit(d - 1), F.col("home_path")))
-        near = near.groupBy("host", F.col("dst").alias("url")).agg(F.min(link_priority(F.col("dst"), F.col("anchor"))).alias("priority"))
-        level = settle(near.join(reached.select("host", "url"), ["host", "url"], "left_anti").select("host", "url", F.lit(d).alias("depth"), "priority"))
-        reached = reached.unionByName(level)
-    order = Window.partitionBy("host").orderBy("priority", "depth", "url")
-    return reached.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as t
@@ -23,6 +23,7 @@ from folioforge.functions.fixed import (
     URL_WEIGHTS,
 )
 from folioforge.operators import pages as p
+from folioforge.operators import walk as w
 from folioforge.sources.tables import policy_text, table
 from folioforge.plans.views import POLICY
 
@@ -118,16 +119,32 @@ def link_priority(spark: SparkSession, d: str) -> DataFrame:
     return p.page_links(_pages(spark, d)).groupBy(p.link_priority(F.col("dst"), F.col("anchor")).alias("priority")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, links) of sites: addresses that say what some pages are about, and beside the stored links those of a tree over each host's pages."""
+    about = F.when(F.col("page_id") % 4 == 0, "/call-for-papers").when(F.col("page_id") % 4 == 1, "/submission").otherwise("")
+    pages = _pages(spark, d).where("url is not null").select("page_id", F.concat(F.regexp_replace("url", r"[?#].*$", ""), about).alias("url"), t.url_host(F.col("url")).alias("host"))
+    r = F.row_number().over(Window.partitionBy("host").orderBy("page_id"))
+    numbered = pages.withColumn("r", r)
+    below = numbered.select("host", F.col("url").alias("src"), F.posexplode(F.array(F.col("r") * 2, F.col("r") * 2 + 1, F.col("r") * 3 + 2)).alias("place", "r"))
+    anchor = F.when(F.col("page_id") % 3 == 0, "Call for Papers").when(F.col("page_id") % 3 == 1, "News").otherwise("Program")
+    tree = below.join(numbered.select("host", "r", "page_id", F.col("url").alias("dst")), ["host", "r"]).select("src", "dst", anchor.alias("anchor"), (F.col("place") + 1000).alias("place"))
+    stored = p.page_links(_pages(spark, d)).join(pages.select("page_id", "url"), "page_id").select(F.col("url").alias("src"), "dst", "anchor", "place")
+    return pages, stored.union(tree)
+
+
 def frontier(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d)
-    return p.frontier(pages.select("page_id", "url"), p.page_links(pages)).select("host", "url", "depth", "priority", "place")
+    """What a best-first walk of each site reads, where only stored pages can be read."""
+    pages, links = _sites(spark, d)
+    return w.walk(w.first_pages(pages), links, stored=pages.select("url"))
 
 
 def frontier_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """The walk with further seeds: every ninth page is one that a feed links to."""
-    pages = _pages(spark, d)
-    seeds = pages.where("page_id % 9 = 0 and url is not null").select(t.url_host(F.col("url")).alias("host"), "url")
-    return p.frontier(pages.select("page_id", "url"), p.page_links(pages), seeds=seeds).select("host", "url", "depth", "priority", "place")
+    """The walk with further seeds, all addresses readable: a feed names a page of every site, some of them with spaces or blank."""
+    pages, links = _sites(spark, d)
+    homes = w.first_pages(pages)
+    link = F.when(F.col("page_id") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "url"))
+    feed = pages.where("page_id % 9 = 0").select(F.col("host").alias("site"), link.alias("link"))
+    return w.walk(homes, links, seeds=w.feed_seeds(homes, feed))
 
 
 def skip_url(spark: SparkSession, d: str) -> DataFrame:
@@ -272,23 +289,36 @@ def search_rows_lead(spark: SparkSession, d: str) -> DataFrame:
 _DEDUP = f"SELECT {HASH.format('text')} AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1"
 _SCORED = f"scored AS (SELECT *, {SCORE}::BIGINT AS score FROM (SELECT page_id, url, {HTML_TEXT} AS text, page_id % 3 AS depth FROM pages WHERE html IS NOT NULL AND url IS NOT NULL))"
 _NON = "(length({0}) < 50 OR ((contains(lower({0}), 'page not found') OR contains(lower({0}), '404')) AND length({0}) < 300) OR (contains(lower({0}), 'coming soon') AND length({0}) < 200))"
-_LEVEL = (
-    "near{d} AS (SELECT l.host, r.dst AS url, min({prio}) AS priority FROM level{c} l JOIN resolved r ON l.url = r.src JOIN home h ON l.host = h.host "
-    "WHERE {host_src} = {host_dst} AND NOT {skip} AND ({c} = 0 OR starts_with({path_dst}, h.home_path) OR {rel}) GROUP BY 1, 2), "
-    "level{d} AS (SELECT host, url, {d} AS depth, priority FROM near{d} n WHERE NOT EXISTS (SELECT 1 FROM ({before}) b WHERE b.host = n.host AND b.url = n.url))"
-)
-
-
-def _frontier_sql(seeds: str = '') -> str:
-    levels = ",\n".join(
-        _LEVEL.format(d=k, c=k - 1, prio=PRIORITY, host_src=HOST.format("r.src"), host_dst=HOST.format("r.dst"), skip=SKIP.format("r.dst"), path_dst=PATH.format("r.dst"), rel=RELATED, before=" UNION ALL ".join(f"SELECT host, url FROM level{j}" for j in range(k)))
-        for k in (1, 2, 3)
-    )
-    return f"""WITH {LINKS}, first AS (SELECT {HOST.format("url")} AS host, arg_min(url, page_id) AS url FROM pages WHERE url IS NOT NULL GROUP BY 1),
-home AS (SELECT host, {PATH.format("url")} AS home_path FROM first), level0 AS (SELECT host, url, 0 AS depth, 0 AS priority FROM first{seeds}), {levels},
-reached AS ({" UNION ALL ".join(f"SELECT * FROM level{k}" for k in range(4))})
-SELECT host, url, depth, priority, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY priority, depth, url) AS place FROM reached) WHERE place <= 15"""
-
+_STRIPPED = "regexp_replace(url, '[?#].*$', '') || CASE page_id % 4 WHEN 0 THEN '/call-for-papers' WHEN 1 THEN '/submission' ELSE '' END"
+
+
+def _frontier_sql(seeds: str = "", stored: str = "") -> str:
+    """A walk for each site by recursion: a row's heap is a sorted list, its head is read next."""
+    entry = "{{'priority': {}, 'found': {}, 'place': {}, 'url': {}, 'depth': {}}}"
+    near = f"(starts_with({PATH.format('dst')}, home_path) OR {RELATED})"
+    return f"""WITH RECURSIVE {LINKS}, own AS (SELECT page_id, {_STRIPPED} AS url, {HOST.format("url")} AS host FROM pages WHERE url IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS r FROM own),
+tree AS (SELECT a.url AS src, b.url AS dst, ['Call for Papers', 'News', 'Program'][b.page_id % 3 + 1] AS anchor, 1000 + i AS place
+  FROM (SELECT *, unnest([r * 2, r * 2 + 1, r * 3 + 2]) AS c, unnest([0, 1, 2]) AS i FROM numbered) a JOIN numbered b ON a.host = b.host AND a.c = b.r),
+every AS (SELECT o.url AS src, dst, anchor, place FROM resolved JOIN own o USING (page_id) UNION ALL SELECT src, dst, anchor, place FROM tree),
+home AS (SELECT host AS site, arg_min(url, page_id) AS url FROM own GROUP BY 1),
+paths AS (SELECT site, {HOST.format("url")} AS host, regexp_replace({PATH.format("url")}, '/+$', '') AS home_path FROM home),
+kept AS (SELECT h.site, src, {PRIORITY} AS priority, place, dst, {near} AS near FROM every JOIN paths h ON h.host = {HOST.format("dst")} WHERE NOT {SKIP.format("dst")}{stored}),
+edges AS (SELECT site, src, list({{'priority': priority, 'place': place, 'dst': dst, 'near': near}}) AS links FROM kept GROUP BY 1, 2),
+start AS (SELECT site, {entry.format(0, 0, 0, "url", 0)} AS e FROM home{seeds}),
+walk AS (
+  SELECT site, 1 AS n, h[1] AS cur, h[2:] AS rest, [h[1].url] AS seen FROM (SELECT site, list(e ORDER BY e) AS h FROM start GROUP BY 1)
+  UNION ALL
+  SELECT site, n + 1, h[1], list_filter(h, lambda x: x.url <> h[1].url), list_append(seen, h[1].url) FROM (
+    SELECT k.site, n, seen, list_sort(list_filter(list_concat(rest, CASE WHEN cur.depth < 3 AND links IS NOT NULL
+      THEN list_transform(list_filter(links, lambda l: cur.depth = 0 OR l.near), lambda l: {entry.format("l.priority", "n", "l.place", "l.dst", "cur.depth + 1")}) ELSE [] END),
+      lambda x: NOT list_contains(seen, x.url))) AS h
+    FROM walk k LEFT JOIN edges e ON e.site = k.site AND e.src = k.cur.url) WHERE len(h) > 0 AND n < 15)
+SELECT site, cur.url AS url, cur.depth::INT AS depth, cur.priority::INT AS priority, n::INT AS place FROM walk"""
+
+
+_FED = "(SELECT DISTINCT o.host AS site, o.url FROM own o JOIN home h ON h.site = o.host AND h.url <> o.url WHERE o.page_id % 9 = 0 AND o.page_id % 5 <> 0)"
+_SEEDED = " UNION ALL SELECT site, {'priority': 5, 'found': 0, 'place': row_number() OVER (PARTITION BY site ORDER BY url), 'url': url, 'depth': 0} FROM " + _FED
 
 _EVENT_PAGE = "html || '<tr><th>When</th><td>Jul ' || (page_id % 28 + 1) || ', 2025</td></tr><tr><th>Where</th><td>City' || (page_id % 9) || '</td></tr><tr><th>Submission Deadline</th><td>Jan 5, 2025</td></tr>'"
 _COUNTS = COUNT.format("lower(text)", "(year + 1)::VARCHAR"), COUNT.format("lower(text)", "year::VARCHAR")
@@ -305,8 +335,8 @@ QUERIES = {
         f"WITH {LINKS} SELECT page_id, place, {HOST.format('src')} = {HOST.format('dst')} AND NOT {SKIP.format('dst')} AND (page_id % 3 = 0 OR starts_with({PATH.format('dst')}, '/' || coalesce({PARTS.format('src')}[1], '')) OR {RELATED}) AS ok FROM resolved",
     ),
     "link_priority": (link_priority, f"WITH {LINKS} SELECT ({PRIORITY})::INT AS priority, count(*) AS n FROM resolved GROUP BY 1"),
-    "frontier": (frontier, _frontier_sql()),
-    "frontier_seeds": (frontier_seeds, _frontier_sql(f" UNION SELECT {HOST.format('url')}, url, 0, 0 FROM pages WHERE page_id % 9 = 0 AND url IS NOT NULL")),
+    "frontier": (frontier, _frontier_sql(stored=" AND dst IN (SELECT url FROM own)")),
+    "frontier_seeds": (frontier_seeds, _frontier_sql(_SEEDED)),
     "skip_url": (skip_url, f"SELECT page_id, {SKIP.format('u')} AS skip FROM (SELECT page_id, url || ['', '/a.PDF', '/proceedings/', '/cfp', '/x.svg'][page_id % 5 + 1] AS u FROM pages)"),
     "url_filename": (url_filename, f"SELECT page_id, {FILENAME.format('url')} AS filename FROM pages"),
     "trim_path": (
