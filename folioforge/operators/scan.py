@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Java's flags for Python's meaning of \s, \w, \b, case and line ends.
-FLAGS = "(?idmuU)"
+from folioforge.functions.regex import FLAGS, folded, java, java_of_folded, literal
+from folioforge.functions.text import let
+
 #: Rows of a configuration table that may be broadcast.
 MOST_ROWS = 20_000
 
@@ -20,27 +23,82 @@ def corpus(texts: DataFrame, keys: list[str], order: str = "source_key") -> Data
     """One text for each key: '=== name ===' and the text of each source in order, blank lines between; blank and [Empty] are left out."""
     rows = texts.where(F.col("text").rlike(r"\S") & ~F.col("text").rlike(r"^\s*\[Empty\]\s*$"))
     part = F.concat(F.lit("=== "), F.col("source_key"), F.lit(" ===\n"), F.col("text"))
-    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("part")))).alias("parts"))
+    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("part")))).alias("parts"))
     return lists.select(*keys, F.array_join(F.transform("parts", lambda s: s["part"]), "\n\n").alias("text"))
 
 
+def _compiled(patterns: DataFrame) -> dict[str, list[tuple[int, str, str, str, bool]]]:
+    """The patterns of each field in their order as (number, name, Java regex, literal, whether for folded text).
+
+    They are configuration, MOST_ROWS at most, in Python's dialect; what that doesn't know is taken as Java's own.
+    """
+    rows = patterns.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a table of patterns holds {MOST_ROWS} at most")
+    out: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["field"], r["pattern_idx"])):
+        try:
+            low = java_of_folded(r["regex"])
+            rx, held = low or java(r["regex"]), literal(r["regex"])
+        except re.error:
+            rx, held, low = FLAGS + r["regex"], "", None
+        out.setdefault(r["field"], []).append((r["pattern_idx"], r["name"], rx, held, low is not None))
+    return out
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def pattern_scan(corpora: DataFrame, keys: list[str], fields: DataFrame, patterns: DataFrame) -> DataFrame:
     """(keys, field, pattern_idx, name, start, match): for each text and field the first pattern that matches, at its leftmost place.
 
-    Literal anchors choose the fields that a text may match at all; only those meet their patterns, by an equi-join on field, so
-    that most pairs of text and pattern never meet.
+    Each field is one expression of its patterns, tried in order up to the first that matches; a pattern is tried only where the text
+    holds the literal that all its matches hold. So texts stay in their rows, and every pattern is compiled once. The expression stands
+    in a function of higher order, which Spark interprets: hundreds of patterns don't fit into one generated method. It is written in SQL,
+    as building so many columns one by one takes longer than the scan. A match starts behind what a split at its pattern leaves before it.
     """
-    low = F.lower("text")
-    anchored = small(fields.select(F.col("field").alias("f"), "anchors"))
-    rows = corpora.select(*keys, "text", low.alias("low")).join(anchored, F.exists("anchors", lambda a: F.contains(F.col("low"), a)))
-    met = rows.drop("low", "anchors").join(small(patterns.select(F.col("field").alias("f"), "pattern_idx", "name", F.concat(F.lit(FLAGS), F.col("regex")).alias("rx"))), "f")
-    hit = met.withColumn("match", F.regexp_substr("text", F.col("rx"))).where(F.col("match").isNotNull())
-    first = hit.groupBy(*keys, F.col("f").alias("field")).agg(F.min(F.struct("pattern_idx", "name", F.instr(F.col("text"), F.col("match")).alias("start"), "match")).alias("m"))
-    return first.select(*keys, "field", "m.*")
+    known = {r["field"] for r in small(fields).select("field").collect()}
+    tried = [(f, *p) for f, ps in _compiled(patterns).items() if f in known for p in ps]
+    if not tried:
+        return corpora.select(*keys, F.lit("").alias("field"), F.lit(0).alias("pattern_idx"), F.lit("").alias("name"), F.lit(0).alias("start"), F.lit("").alias("match")).limit(0)
+    cases: dict[str, list[str]] = {}
+    for n, (field, _, _, rx, held, low) in enumerate(tried):
+        found = f"rlike(t.{'low' if low else 'text'}, {_quoted(rx)})"
+        cases.setdefault(field, []).append(f"WHEN {f'contains(t.low, {_quoted(held)}) AND ' if held else ''}{found} THEN {n}")
+    firsts = ", ".join(f"CASE {' '.join(c)} END" for c in cases.values())
+    one = F.array(F.struct(F.col("text").alias("text"), folded(F.col("text")).alias("low")))
+    got = corpora.select(*keys, one.alias("one")).select(*keys, F.expr(f"transform(one, t -> struct(t.text AS text, t.low AS low, array_compact(array({firsts})) AS hits))[0]").alias("t"))
+    of = lambda k, kind=_quoted: f"element_at(array({', '.join(kind(p[k]) for p in tried)}), n + 1)"
+    placed = f"transform(hits, n -> transform(array(struct({of(3)} AS rx, CASE WHEN {of(5, lambda x: str(x).lower())} THEN t.low ELSE t.text END AS seen)), s -> struct(n, char_length(split(s.seen, s.rx, 2)[0]) + 1 AS start, char_length(regexp_substr(s.seen, s.rx)) AS size))[0])"
+    whole = f"transform(transform(one, t -> struct(t.text AS text, t.low AS low, array_compact(array({firsts})) AS hits)), t -> transform({placed.replace('(hits', '(t.hits')}, h -> struct(h.n, h.start, substring(t.text, h.start, h.size) AS match)))[0]"
+    rows = corpora.select(*keys, one.alias("one")).select(*keys, F.explode(F.expr(whole)).alias("h")).select(*keys, "h.*")
+    return rows.select(*keys, F.expr(of(0)).alias("field"), F.expr(of(1, str)).alias("pattern_idx"), F.expr(of(2)).alias("name"), "start", "match")
 
 
 def all_matches(text: Column, regex: Column) -> Column:
-    """array of (start, match), 1-based, of every non-overlapping match: a match starts behind all pieces and matches before it."""
+    """array of (start, match), 1-based, of every non-overlapping match: a match starts behind all pieces and matches before it.
+
+    Running sums go block by block, so that work grows with the matches and their square root, not their square.
+    """
     found, pieces = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, -1)
-    before = lambda i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda s, p: s + F.length(p)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda s, m: s + F.length(m))
-    return F.transform(found, lambda m, i: F.struct((before(i) + 1).alias("start"), m.alias("match")))
+    both = F.zip_with(pieces, found, lambda p, m: F.struct(F.coalesce(F.length(p), F.lit(0)).alias("before"), m.alias("match")))
+    return let(F.filter(both, lambda x: x["match"].isNotNull()), lambda xs: _placed(xs))
+
+
+def _placed(xs: Column) -> Column:
+    """(before, match) in order to (start, match): the sum of all lengths so far, from sums of blocks of about the root of their number."""
+    size = lambda x: x["before"] + F.length(x["match"])
+    width = F.greatest(F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int"), F.lit(1))
+
+    def in_blocks(w: Column) -> Column:
+        count = F.ceil(F.size(xs) / w).cast("int")
+        numbers = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(numbers, lambda b: F.slice(xs, b * w + 1, w))
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + size(x)))
+        return let(sums, lambda t: F.flatten(F.transform(blocks, lambda b, k: _within(b, F.aggregate(F.slice(t, 1, k), F.lit(0), lambda s, x: s + x)))))
+
+    def _within(block: Column, base: Column) -> Column:
+        return let(base, lambda z: F.transform(block, lambda x, i: F.struct((z + F.aggregate(F.slice(block, 1, i), F.lit(0), lambda s, y: s + size(y)) + x["before"] + 1).alias("start"), x["match"].alias("match"))))
+
+    return let(width, in_blocks)

@@ -84,8 +84,8 @@ def _rules() -> str:
 corp AS (SELECT entity, year, string_agg('=== ' || source_key || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY source_key) AS text FROM policy GROUP BY 1, 2),
 pats AS (SELECT * FROM {_values(rows, "field, idx, name, rx")}),
 fields AS (SELECT * FROM {_values(fields, "field, category, type, priority, dflt")}),
-hits AS (SELECT entity, year, field, idx, name, regexp_extract(text, rx) AS match, text FROM corp, pats WHERE regexp_matches(text, rx)),
-scan AS (SELECT entity, year, field, idx AS pattern_idx, name, strpos(text, match) AS start, match, lower(text) AS low FROM (SELECT *, row_number() OVER (PARTITION BY entity, year, field ORDER BY idx) AS r FROM hits) WHERE r = 1),
+hits AS (SELECT entity, year, field, idx, name, rx, regexp_extract(text, rx) AS match, text FROM corp, pats WHERE regexp_matches(text, rx)),
+scan AS (SELECT entity, year, field, idx AS pattern_idx, name, length(string_split_regex(text, rx)[1]) + 1 AS start, match, lower(text) AS low FROM (SELECT *, row_number() OVER (PARTITION BY entity, year, field ORDER BY idx) AS r FROM hits) WHERE r = 1),
 placed AS (SELECT *, {place} AS place FROM scan),
 typed AS (SELECT entity, year, field, match, CASE f.type
   WHEN 'date' THEN CASE WHEN regexp_matches(lower(match), 'tbd|tba|to be announced|coming soon') THEN 'TBD' ELSE regexp_extract(match, ':\\s*(.*)$', 1) END
