@@ -50,9 +50,11 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def pattern_scan(corpora: DataFrame, keys: list[str], fields: DataFrame, patterns: DataFrame) -> DataFrame:
+def pattern_scan(corpora: DataFrame, keys: list[str], fields: DataFrame, patterns: DataFrame, around: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """(keys, field, pattern_idx, name, start, match): for each text and field the first pattern that matches, at its leftmost place.
 
+    With around, also window: the match with so many signs before and behind it, by field, trimmed.
+
     Each field is one expression of its patterns, tried in order up to the first that matches; a pattern is tried only where the text
     holds the literal that all its matches hold. So texts stay in their rows, and every pattern is compiled once. The expression stands
     in a function of higher order, which Spark interprets: hundreds of patterns don't fit into one generated method. It is written in SQL,
@@ -61,7 +63,7 @@ def pattern_scan(corpora: DataFrame, keys: list[str], fields: DataFrame, pattern
     known = {r["field"] for r in small(fields).select("field").collect()}
     tried = [(f, *p) for f, ps in _compiled(patterns).items() if f in known for p in ps]
     if not tried:
-        return corpora.select(*keys, F.lit("").alias("field"), F.lit(0).alias("pattern_idx"), F.lit("").alias("name"), F.lit(0).alias("start"), F.lit("").alias("match")).limit(0)
+        return corpora.select(*keys, F.lit("").alias("field"), F.lit(0).alias("pattern_idx"), F.lit("").alias("name"), F.lit(0).alias("start"), F.lit("").alias("match"), *([] if around is None else [F.lit("").alias("window")])).limit(0)
     cases: dict[str, list[str]] = {}
     for n, (field, _, _, rx, held, low) in enumerate(tried):
         found = f"rlike(t.{'low' if low else 'text'}, {_quoted(rx)})"
@@ -71,9 +73,14 @@ def pattern_scan(corpora: DataFrame, keys: list[str], fields: DataFrame, pattern
     got = corpora.select(*keys, one.alias("one")).select(*keys, F.expr(f"transform(one, t -> struct(t.text AS text, t.low AS low, array_compact(array({firsts})) AS hits))[0]").alias("t"))
     of = lambda k, kind=_quoted: f"element_at(array({', '.join(kind(p[k]) for p in tried)}), n + 1)"
     placed = f"transform(hits, n -> transform(array(struct({of(3)} AS rx, CASE WHEN {of(5, lambda x: str(x).lower())} THEN t.low ELSE t.text END AS seen)), s -> struct(n, char_length(split(s.seen, s.rx, 2)[0]) + 1 AS start, char_length(regexp_substr(s.seen, s.rx)) AS size))[0])"
-    whole = f"transform(transform(one, t -> struct(t.text AS text, t.low AS low, array_compact(array({firsts})) AS hits)), t -> transform({placed.replace('(hits', '(t.hits')}, h -> struct(h.n, h.start, substring(t.text, h.start, h.size) AS match)))[0]"
+    window = ""
+    if around is not None:
+        before, after = (f"element_at(array({', '.join(str(around.get(p[0], (0, 0))[k]) for p in tried)}), h.n + 1)" for k in (0, 1))
+        begin = f"greatest(1, h.start - {before})"
+        window = f", regexp_replace(substring(t.text, {begin}, h.start - {begin} + h.size + {after}), r'^\\s+|\\s+$', '') AS window"
+    whole = f"transform(transform(one, t -> struct(t.text AS text, t.low AS low, array_compact(array({firsts})) AS hits)), t -> transform({placed.replace('(hits', '(t.hits')}, h -> struct(h.n, h.start, substring(t.text, h.start, h.size) AS match{window})))[0]"
     rows = corpora.select(*keys, one.alias("one")).select(*keys, F.explode(F.expr(whole)).alias("h")).select(*keys, "h.*")
-    return rows.select(*keys, F.expr(of(0)).alias("field"), F.expr(of(1, str)).alias("pattern_idx"), F.expr(of(2)).alias("name"), "start", "match")
+    return rows.select(*keys, F.expr(of(0)).alias("field"), F.expr(of(1, str)).alias("pattern_idx"), F.expr(of(2)).alias("name"), "start", "match", *([] if around is None else ["window"]))
 
 
 def all_matches(text: Column, regex: Column) -> Column:

@@ -11,7 +11,7 @@ from folioforge.functions import rules as rv
 from folioforge.functions import text as t
 from folioforge.functions.patterns import FIELDS, fields_table, patterns_table
 from folioforge.functions.text import let
-from folioforge.operators import classify, merge, scan
+from folioforge.operators import classify, merge, requirements, scan
 from folioforge.plans.views import MAPPED, POLICY, RULES, _values
 from folioforge.sources.shared import settle
 from folioforge.sources.tables import feed, policy_text, second_feed, table
@@ -339,6 +339,65 @@ def _typed_sql(*fields: str) -> str:
     return RULES + f" SELECT entity, year, field, value FROM typed WHERE field IN ({', '.join(map(repr, fields))})"
 
 
+def requirement_struct(spark: SparkSession, d: str) -> DataFrame:
+    """The typed row of each text, flattened."""
+    got = requirements.requirements(_requirements(spark, d), KEYS)
+    s, g = F.col("r.submission"), F.col("r.logistics")
+    return got.select(
+        *KEYS, s["template"].alias("template"), s["details"].alias("details"), s["supplementary"].alias("supplementary"), s["limits"].alias("limits"), s["evidence"].alias("submission_evidence"), s["confidence"].alias("submission_confidence"),
+        F.array_join(g["formats"], ",").alias("formats"), g["aid"].alias("aid"), g["workshops"].alias("workshops"), g["delivery"].alias("delivery"), g["evidence"].alias("logistics_evidence"), g["confidence"].alias("logistics_confidence"),
+        F.array_join("r.tracks.names", ",").alias("tracks"), F.col("r.tracks.confidence").alias("tracks_confidence"), F.array_join("r.statements.types", ",").alias("statements"), F.col("r.statements.confidence").alias("statements_confidence"),
+    )
+
+
+def requirement_rows(spark: SparkSession, d: str) -> DataFrame:
+    texts = settle(_requirements(spark, d))
+    excluded = classify.page_exclusions(classify.page_limit(texts, KEYS), texts, KEYS)
+    return requirements.requirement_rows(requirements.requirements(texts, KEYS), KEYS, excluded)
+
+
+def _requirements_sql() -> str:
+    """fh: each group's first hit with its window; rq: the typed row of each text."""
+    window = requirements._windows()
+    table = _values([(g, n, label, f"(?i){rx}", *window[g]) for g, n, label, rx in requirements.groups()], "grp, n, label, rx, before, after")
+    of = lambda g, col="win": f"max(CASE WHEN grp = '{g}' THEN {col} END)"
+    listed = lambda gs, col="win": f"list_filter([{', '.join(of(g, col) for g in gs)}], lambda x: x IS NOT NULL)"
+    statements = {s: [requirements._statement(s, k) for k in range(len(rxs))] for s, rxs in cp.STATEMENTS.items()}
+    types = ", ".join(f"CASE WHEN count(*) FILTER (WHERE grp IN ({', '.join(map(repr, gs))})) > 0 THEN '{s}' END" for s, gs in statements.items())
+    formats = " || ".join(f"regexp_extract_all(lower(text), '{rx}')" for rx in cp.PRESENTATION)
+    at = lambda w, k: f"list_min(list_transform(range(len(fm)), lambda i: CASE WHEN contains(fm[i + 1], '{w}') THEN i * 4 + {k} END))"
+    named = ", ".join(f"{{'at': {at(w, k)}, 'name': '{w}'}}" for k, w in enumerate(("oral", "poster", "demo", "virtual")))
+    return (
+        f"groups AS (SELECT * FROM {table}), "
+        "fg AS (SELECT entity, year, grp, text, arg_min(label, n) AS label, arg_min(rx, n) AS rx, any_value(before) AS before, any_value(after) AS after FROM req, groups WHERE regexp_matches(text, rx) GROUP BY ALL), "
+        "fp2 AS (SELECT *, regexp_extract(text, rx) AS match, length(string_split_regex(text, rx)[1]) + 1 AS start FROM fg), "
+        r"fh AS (SELECT *, regexp_replace(substring(text, greatest(1, start - before), start - greatest(1, start - before) + length(match) + after), '^\s+|\s+$', '', 'g') AS win FROM fp2), "
+        f"ff AS (SELECT entity, year, list_transform(list_sort(list_filter([{named}], lambda x: x.at IS NOT NULL)), lambda x: x.name) AS formats FROM (SELECT entity, year, {formats} AS fm FROM req)), "
+        f"rq AS (SELECT entity, year, {of('template', 'label')} = 'required' AS template, {of('template', 'match')} AS details, {of('supplementary', 'label')} = 'allowed' AS supplementary, "
+        rf"nullif(regexp_extract({of('supplementary')}, '(?i)(\d+)\s*(?:MB|GB|pages?)'), '') AS limits, {listed(['template', 'supplementary'])} AS se, {of('aid', 'label')} IS NOT NULL AS aid, {of('workshops', 'label')} IS NOT NULL AS workshops, {of('delivery', 'label')} AS delivery, "
+        f"{listed(['aid', 'delivery'])} AS ge, {listed(cp.TRACKS, 'label')} AS tracks, {listed(cp.TRACKS)} AS te, list_filter([{types}], lambda x: x IS NOT NULL) AS types, {listed([g for gs in statements.values() for g in gs])} AS me FROM req LEFT JOIN fh USING (entity, year) GROUP BY 1, 2)"
+    )
+
+
+_CONFIDENT = "CASE WHEN len({0}) >= {1} THEN 'high' WHEN len({0}) >= 1 THEN 'medium' ELSE 'low' END"
+
+
+def _requirement_rows_sql() -> str:
+    joined = lambda x, n: f"array_to_string({x}[1:{n}], '; ')"
+    values = {
+        "template_required": ("template::VARCHAR", f"coalesce(details, {joined('se', 2)})"), "supplementary_material": ("supplementary::VARCHAR", f"concat_ws('. ', limits, nullif({joined('se', 2)}, ''))"),
+        "presentation_format": ("CASE WHEN len(formats) > 0 THEN array_to_string(formats, ', ') END", joined("ge", 2)), "financial_aid": ("CASE WHEN aid THEN 'true' END", joined("ge", 2)), "workshops": ("CASE WHEN workshops THEN 'true' END", joined("ge", 2)),
+        "conference_format": ("delivery", joined("ge", 2)), "statements": ("CASE WHEN len(types) > 0 THEN 'true' END", f"'Required statements: ' || array_to_string(types, ', ') || '. ' || CASE WHEN len(types) >= 2 THEN {joined('me', 3)} ELSE me[1] END"),
+    } | {t: (f"CASE WHEN list_contains(tracks, '{t}') THEN 'true' END", joined("te", 3)) for t in cp.TRACKS}
+    own = " UNION ALL ".join(f"SELECT entity, year, '{f}' AS field, {values[f][0]} AS value, {values[f][1]} AS evidence, '{category}' AS category, '{priority}' AS priority FROM rq JOIN ff USING (entity, year)" for f, category, priority in requirements.ROWS)
+    kinds = "[" + ", ".join(f"'{k}'" for k in cp.EXCLUSIONS) + "]"
+    limits, excluded = (x.replace("FROM corp", "FROM req") for x in (_LIMITS, _EXCLUDED))
+    return (
+        f"{_REQ}, {_requirements_sql()}, {limits}, {excluded}, el AS (SELECT entity, year, list(kind ORDER BY list_position({kinds}, kind)) AS k FROM ex GROUP BY 1, 2) SELECT * FROM ({own}) WHERE value IS NOT NULL UNION ALL "
+        "SELECT entity, year, 'page_limit_exclusions', 'true', CASE len(k) WHEN 1 THEN k[1] WHEN 2 THEN k[1] || ' and ' || k[2] ELSE array_to_string(k[1:len(k) - 1], ', ') || ', and ' || k[len(k)] END || ' do not count toward page limit', 'submission_requirements', 'high' FROM el"
+    )
+
+
 _PAGES = _values(list(enumerate(cp.PAGE)), "idx, rx")
 _LIMITS = (
     f"pm AS (SELECT entity, year, text, idx, regexp_extract_all(text, '(?i)' || rx) AS m, regexp_split_to_array(text, '(?i)' || rx) AS p FROM corp, {_PAGES} WHERE regexp_matches(text, '(?i)' || rx)), "
@@ -467,6 +526,12 @@ QUERIES = {
         _REQ + f", s AS (SELECT DISTINCT entity, year, label AS track FROM req, {_labels({'t': cp.TRACKS})} WHERE regexp_matches(text, '(?i)' || rx)) SELECT entity, year, track, CASE WHEN count(*) OVER (PARTITION BY entity, year) >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM s",
     ),
     "extractor_histogram": (extractor_histogram, RULES + f", {_POLICY_SCORES} SELECT policy, label, confidence, count(*) AS n FROM pc GROUP BY 1, 2, 3"),
+    "requirement_struct": (
+        requirement_struct,
+        f"{_REQ}, {_requirements_sql()} SELECT entity, year, template, details, supplementary, limits, array_to_string(se[1:2], '; ') AS submission_evidence, CASE WHEN len(se) > 0 THEN 'medium' ELSE 'low' END AS submission_confidence, array_to_string(formats, ',') AS formats, aid, workshops, delivery, "
+        f"array_to_string(ge[1:2], '; ') AS logistics_evidence, CASE WHEN len(ge) > 0 THEN 'medium' ELSE 'low' END AS logistics_confidence, array_to_string(tracks, ',') AS tracks, {_CONFIDENT.format('tracks', 3)} AS tracks_confidence, array_to_string(types, ',') AS statements, {_CONFIDENT.format('types', 2)} AS statements_confidence FROM rq JOIN ff USING (entity, year)",
+    ),
+    "requirement_rows": (requirement_rows, _requirement_rows_sql()),
     "legacy_rows": (legacy_rows, RULES + f", {_LEGACY} SELECT entity, year, field, value FROM legacy"),
     "batch_pack": (
         batch_pack,
