@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.dates import comparison_key
 from folioforge.functions.rules import is_known
+from folioforge.operators.reports import percent
 from folioforge.operators.scan import small
 
 
@@ -68,6 +69,67 @@ def unparsed(responses: DataFrame) -> DataFrame:
     return responses.where(F.try_parse_json("response").isNull() | F.from_json("response", "map<string,string>").isNull())
 
 
+#: Texts of a model that stand for nothing, and for true and false in boolean fields.
+_NULLS, _TRUE, _FALSE = ("unknown", "null", ""), ("true", "yes", "1"), ("false", "no", "0")
+
+
+def _entries(responses: DataFrame, keys: list[str], fields: DataFrame) -> DataFrame:
+    """(keys, batch, field, type, kind, v, evidence) of the known fields that a response names; v is what stands for the value, kind its JSON type."""
+    known = F.from_json("response", "map<string,variant>")
+    objects = responses.where(F.startswith(F.schema_of_variant(F.try_parse_json("response")), F.lit("OBJECT")))
+    rows = objects.select(*keys, "batch", F.explode(known).alias("field", "entry")).where("entry is not null").join(small(fields.select("field", "type")), "field")
+    kind = F.schema_of_variant("entry")
+    inner = F.try_variant_get("entry", "$.value", "variant")
+    whole = F.startswith(kind, F.lit("OBJECT")) & inner.isNotNull()
+    rows = rows.withColumn("v", F.when(whole, inner).otherwise(F.col("entry"))).withColumn("evidence", F.when(whole, F.try_variant_get("entry", "$.evidence", "string")))
+    return rows.select(*keys, "batch", "field", "type", F.schema_of_variant("v").alias("kind"), "v", "evidence")
+
+
+def _as_text(v: Column, kind: Column) -> Column:
+    """A value as text: strings as they are, lists of plain values by semicolons, other things as JSON."""
+    plain = F.try_variant_get(v, "$", "string")
+    flat = F.startswith(kind, F.lit("ARRAY")) & ~kind.rlike("^ARRAY<(ARRAY|OBJECT|VARIANT)")
+    return F.when(flat, F.array_join(F.try_variant_get(v, "$", "array<string>"), "; ")).when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), F.to_json(v)).otherwise(plain)
+
+
+def _judged(responses: DataFrame, keys: list[str], fields: DataFrame) -> DataFrame:
+    """_entries() with text, and value where it counts by the field's type."""
+    rows = _entries(responses, keys, fields).withColumn("text", _as_text(F.col("v"), F.col("kind")))
+    low = F.lower(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    null = (F.col("kind") == "VOID") | ((F.col("kind") == "STRING") & low.isin(*_NULLS))
+    truth = F.when(low.isin(*_TRUE), "true").when(low.isin(*_FALSE), "false")
+    return rows.withColumn("value", F.when(F.col("type") == "boolean", truth).when(~null, F.col("text"))).withColumn("empty", null)
+
+
+def typed_answers(responses: DataFrame, keys: list[str], fields: DataFrame) -> DataFrame:
+    """responses (keys, batch, response) to (keys, batch, field, value, evidence), coerced by the type that fields (field, type) gives.
+
+    An entry is a value or {value, evidence}. Booleans come as JSON ones or as words for them, lists are joined, empty words and nulls
+    are left out, and so is what no boolean field can mean. answer_rejects() has all that is left out but for nulls.
+    """
+    return _judged(responses, keys, fields).where("value is not null").select(*keys, "batch", "field", "value", clean_evidence(F.coalesce("evidence", F.lit(""))).alias("evidence"))
+
+
+def answer_quality(merged: DataFrame, keys: list[str], fields: DataFrame) -> DataFrame:
+    """(keys, known, total, percentage, conflicts, answered): completeness of merge_batches() rows over all fields, conflicting fields, and those with a source."""
+    wanted = small(fields.select("field"))
+    got = merged.join(wanted, "field", "left_semi").groupBy(*keys).agg(F.count_if(is_known(F.col("value"))).alias("known"), F.count_if("conflict").alias("conflicts"), F.count("source").alias("answered"))
+    rows = got.crossJoin(F.broadcast(wanted.agg(F.count(F.lit(1)).alias("total"))))
+    return rows.select(*keys, "known", "total", percent(F.col("known"), F.col("total")).alias("percentage"), "conflicts", "answered")
+
+
+def answer_rejects(responses: DataFrame, keys: list[str], fields: DataFrame) -> DataFrame:
+    """(keys, batch, field, raw, reason): responses that are no JSON object, fields nobody asked for, and values that their type can't take."""
+    parsed = F.try_parse_json("response")
+    broken = responses.where(parsed.isNull() | ~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")))
+    broken = broken.select(*keys, "batch", F.lit(None).cast("string").alias("field"), F.col("response").alias("raw"), F.when(F.col("response").isNull(), "no answer").when(parsed.isNull(), "no JSON").otherwise("no object").alias("reason"))
+    good = responses.where(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")))
+    named = good.select(*keys, "batch", F.explode(F.from_json("response", "map<string,variant>")).alias("field", "entry"))
+    unknown = named.join(small(fields.select("field")), "field", "left_anti").select(*keys, "batch", "field", F.to_json("entry").alias("raw"), F.lit("unknown field").alias("reason"))
+    bad = _judged(responses, keys, fields).where("value is null and not empty").select(*keys, "batch", "field", F.to_json("v").alias("raw"), F.concat(F.lit("no "), "type").alias("reason"))
+    return broken.union(unknown).union(bad)
+
+
 def clean_evidence(v: Column, most: int = 150) -> Column:
     """Without markdown and pipes, single spaces, cut at a word with dots behind."""
     out = F.regexp_replace(F.regexp_replace(v, r"[*_`#>]+", ""), r"\s*\|\s*", ", ")

@@ -273,6 +273,50 @@ def llm_parse(spark: SparkSession, d: str) -> DataFrame:
     return merge.parse_answers(rows, ["event_id"])
 
 
+#: Answers of every kind for a boolean field: what a model wrote, what it means, and what is refused.
+_SAID = [("true", "true", None), ("false", "false", None), ('"Yes"', "true", None), ('"maybe"', None, '"maybe"'), ("1", "true", None), ("null", None, None), ('" NULL "', None, '" NULL "'), ('{"value": "no", "evidence": "a **b**"}', "false", None)]
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """An answer for each event: some no JSON, some no object, some none, others with a boolean, a list, a number and a field that nobody asked for."""
+    k = F.col("event_id")
+    said = F.element_at(F.array(*[F.lit(x) for x, *_ in _SAID]), (k % len(_SAID) + 1).cast("int"))
+    formats = F.when(k % 3 == 0, '["oral", "poster"]').when(k % 3 == 1, '"unknown"').otherwise('{"value": ["demo"], "evidence": null}')
+    extra = F.when(k % 5 == 0, ', "weather": "fine"').otherwise("")
+    whole = F.concat(F.lit('{"double_blind": '), said, F.lit(', "presentation_formats": '), formats, F.lit(', "page_limit": {"value": '), (k % 9).cast("string"), F.lit(', "evidence": "up to | it"}'), extra, F.lit("}"))
+    response = F.when(k % 20 == 0, "no json").when(k % 20 == 1, "[1]").when(k % 20 != 2, whole)
+    return table(spark, d, "events").select("event_id", (k % 3 + 1).alias("batch"), response.alias("response"))
+
+
+def llm_typed(spark: SparkSession, d: str) -> DataFrame:
+    return merge.typed_answers(_answers(spark, d), ["event_id"], fields_table(spark))
+
+
+def llm_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return merge.answer_rejects(_answers(spark, d), ["event_id"], fields_table(spark))
+
+
+def llm_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of each user's merged answers."""
+    users = table(spark, d, "events").where("user_id is not null").select("event_id", "user_id")
+    answers = merge.typed_answers(_answers(spark, d), ["event_id"], fields_table(spark)).join(users, "event_id")
+    one = answers.groupBy("user_id", "batch", "field").agg(F.max("value").alias("value"))
+    return merge.answer_quality(merge.merge_batches(one, ["user_id"]), ["user_id"], fields_table(spark))
+
+
+def _answers_sql() -> str:
+    """ta: the typed answers; tr: the rejects."""
+    quoted = lambda x: "NULL" if x is None else "'" + x + "'"
+    pick = lambda n: f"[{', '.join(quoted(x[n]) for x in _SAID)}][event_id % {len(_SAID)} + 1]"
+    seen = f"CASE WHEN event_id % {len(_SAID)} = 7 THEN 'a b' ELSE '' END"
+    return (
+        f"ev AS (SELECT event_id, event_id % 3 + 1 AS batch FROM events), good AS (SELECT * FROM ev WHERE event_id % 20 > 2), ta AS (SELECT * FROM (SELECT event_id, batch, 'double_blind' AS field, {pick(1)} AS value, {seen} AS evidence FROM good "
+        "UNION ALL SELECT event_id, batch, 'presentation_formats', CASE event_id % 3 WHEN 0 THEN 'oral; poster' WHEN 2 THEN 'demo' END, '' FROM good UNION ALL SELECT event_id, batch, 'page_limit', (event_id % 9)::VARCHAR, 'up to, it' FROM good) WHERE value IS NOT NULL), "
+        "tr AS (SELECT event_id, batch, NULL AS field, CASE event_id % 20 WHEN 0 THEN 'no json' WHEN 1 THEN '[1]' END AS raw, CASE event_id % 20 WHEN 0 THEN 'no JSON' WHEN 1 THEN 'no object' ELSE 'no answer' END AS reason FROM ev WHERE event_id % 20 <= 2 "
+        f"UNION ALL SELECT event_id, batch, 'weather', '\"fine\"', 'unknown field' FROM good WHERE event_id % 5 = 0 UNION ALL SELECT event_id, batch, 'double_blind', {pick(2)}, 'no boolean' FROM good WHERE event_id % {len(_SAID)} = 3)"
+    ).replace('\\"', '"').replace('\"', '"')
+
+
 def llm_merge(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     rows = table(spark, d, "events").where("user_id is not null").select("user_id", (k % 3 + 1).alias("batch"), F.concat(F.lit("f"), (k % 5).cast("string")).alias("field"), F.concat(F.lit("v"), (k % 7).cast("string")).alias("value"))
@@ -543,6 +587,14 @@ QUERIES = {
         llm_parse,
         "SELECT event_id, event_id % 3 + 1 AS batch, unnest(['double_blind', 'page_limit']) AS field, unnest([['true', 'false', 'unknown', 'blind'][event_id % 4 + 1], (event_id % 9) || ' pages']) AS value, unnest([NULL, 'up to']) AS evidence FROM events WHERE event_id % 10 <> 0",
     ),
+    "llm_typed": (llm_typed, f"WITH {_answers_sql()} SELECT event_id, batch, field, value, evidence FROM ta"),
+    "llm_rejects": (llm_rejects, f"WITH {_answers_sql()} SELECT event_id, batch, field, raw, reason FROM tr"),
+    "llm_quality": (
+        llm_quality,
+        f"WITH {_answers_sql()}, one AS (SELECT user_id, batch, field, max(value) AS value FROM ta JOIN (SELECT event_id, user_id FROM events WHERE user_id IS NOT NULL) USING (event_id) GROUP BY 1, 2, 3), "
+        "m AS (SELECT user_id, field, count(DISTINCT trim(regexp_replace(regexp_replace(lower(value), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) > 1 AS conflict FROM one GROUP BY 1, 2) "
+        "SELECT user_id, count(*) AS known, 40::BIGINT AS total, round(count(*) * 100 / 40.0, 1)::DOUBLE AS percentage, count(*) FILTER (WHERE conflict) AS conflicts, count(*) AS answered FROM m GROUP BY 1",
+    ),
     "llm_merge": (
         llm_merge,
         "WITH a AS (SELECT user_id, event_id % 3 + 1 AS batch, 'f' || (event_id % 5) AS field, max('v' || (event_id % 7)) AS value FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2, 3) "
