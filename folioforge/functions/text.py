@@ -9,8 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioforge.functions.fixed import DROPPED_TAGS, DROPPED_TAGS_FLAT, LINE_TAGS, NEGATIONS
-
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+from folioforge.functions.references import decoded
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -46,23 +45,17 @@ def _without_tags(html: Column, dropped: list[str]) -> Column:
     return out
 
 
-def _decoded(text: Column) -> Column:
-    for entity, sign in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
-
-
 def html_text(html: Column) -> Column:
     """Text by lines: no scripts, styles, menus, headers and footers; a line for each block; no empty lines."""
     out = F.regexp_replace(_without_tags(html, DROPPED_TAGS), rf"(?i)<({'|'.join(LINE_TAGS)})\b", "\n<$1")
-    out = _decoded(F.regexp_replace(out, r"(?s)<[^>]*>", " "))
+    out = decoded(F.regexp_replace(out, r"(?s)<[^>]*>", " "))
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\s*\n\s*", "\n")
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def html_text_flat(html: Column) -> Column:
     """Text on one line, without code and samples either."""
-    out = _decoded(F.regexp_replace(_without_tags(html, DROPPED_TAGS_FLAT), r"(?s)<[^>]*>", ""))
+    out = decoded(F.regexp_replace(_without_tags(html, DROPPED_TAGS_FLAT), r"(?s)<[^>]*>", ""))
     return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^\s+|\s+$", "")
 
 
@@ -122,19 +115,37 @@ def trim_path(url: Column) -> Column:
     return F.when(F.size(path_parts(url)) > 2, short).otherwise(url)
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its . and .. segments, as an array fold: .. takes the segment before it away, and a last one leaves a slash."""
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    def folded(parts: Column) -> Column:
+        kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+        return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+    return F.when(path.rlike(r"/\.\.?(/|$)"), let(F.split(path, "/"), folded)).otherwise(path)
+
+
 def absolute(base: Column, href: Column) -> Column:
-    """href against the address of its page, without its fragment."""
+    """href against the address of its page, without its fragment; references resolve as RFC 3986 says, addresses of other schemes stay as they are."""
     root = F.concat(url_scheme(base), F.lit("://"), url_host(base))
-    folder = F.regexp_replace(F.concat(root, url_path(base)), r"[^/]*$", "")
-    bare = F.regexp_replace(href, r"#.*$", "")
-    return (
-        F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), bare)
-        .when(F.startswith(bare, F.lit("//")), F.concat(url_scheme(base), F.lit(":"), bare))
-        .when(F.startswith(bare, F.lit("/")), F.concat(root, bare))
-        .when(bare == "", F.regexp_replace(base, r"#.*$", ""))
-        .when(F.startswith(bare, F.lit("?")), F.concat(root, url_path(base), bare))
-        .otherwise(F.concat(F.when(url_path(base) == "", F.concat(root, F.lit("/"))).otherwise(folder), bare))
-    )
+    folder = F.when(url_path(base) == "", "/").otherwise(F.regexp_replace(url_path(base), r"[^/]*$", ""))
+
+    def resolved(bare: Column) -> Column:
+        path, query = F.regexp_extract(bare, r"^[^?]*", 0), F.regexp_extract(bare, r"\?.*$", 0)
+        far = F.concat(url_scheme(bare), F.lit("://"), F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1), without_dots(url_path(bare)), query)
+        return (
+            F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), far)
+            .when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), bare)
+            .when(F.startswith(bare, F.lit("//")), F.concat(url_scheme(base), F.lit(":"), F.regexp_extract(bare, r"^//[^/?]*", 0), without_dots(F.regexp_extract(bare, r"^//[^/?]*([^?]*)", 1)), query))
+            .when(bare == "", F.regexp_replace(base, r"#.*$", ""))
+            .when(path == "", F.concat(root, url_path(base), query))
+            .otherwise(F.concat(root, without_dots(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path))), query))
+        )
+
+    return let(F.regexp_replace(href, r"#.*$", ""), resolved)
 
 
 def evidence(text: Column, start: Column, stop: Column, most: int = 150, window: int = 200) -> Column:

@@ -18,6 +18,7 @@ from folioforge.functions.fixed import (
     TEXT_WEIGHTS,
     URL_WEIGHTS,
 )
+from folioforge.functions.references import decoded
 from folioforge.functions.text import absolute, any_contains, occurrences, path_parts, url_host, url_path, weighted
 
 
@@ -138,12 +139,13 @@ def suffixed(rows: DataFrame, name: Column, order: list[str]) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, place, src, dst, anchor) of each a[href]."""
-    rx = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(rx), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(rx), F.lit(2)).alias("anchor"))
-    got = pages.where("html is not null and url is not null").select("page_id", "url", F.posexplode(both).alias("place", "link"))
-    anchor = F.trim(F.regexp_replace(F.regexp_replace("link.anchor", r"(?s)<[^>]*>", ""), r"\s+", " "))
-    return got.select("page_id", "place", F.col("url").alias("src"), absolute(F.col("url"), F.col("link.href")).alias("dst"), anchor.alias("anchor"))
+    """(page_id, place, src, dst, anchor) of each a[href], quoted in either way or not at all; character references are decoded."""
+    rx = r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
+    groups = F.arrays_zip(*[F.regexp_extract_all("html", F.lit(rx), F.lit(k)).alias(f"g{k}") for k in (1, 2, 3, 4)])
+    got = pages.where("html is not null and url is not null").select("page_id", "url", F.posexplode(groups).alias("place", "link"))
+    href = F.trim(decoded(F.concat("link.g1", "link.g2", "link.g3")))  # one of them is not empty, or none
+    anchor = F.trim(F.regexp_replace(decoded(F.regexp_replace("link.g4", r"(?s)<[^>]*>", "")), r"\s+", " "))
+    return got.select("page_id", "place", F.col("url").alias("src"), absolute(F.col("url"), href).alias("dst"), anchor.alias("anchor"))
 
 
 def link_admissible(src: Column, dst: Column, anchor: Column, depth: Column, home_path: Column) -> Column:

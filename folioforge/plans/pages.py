@@ -46,9 +46,10 @@ def sql_dropped(col: str, tags: list[str]) -> str:
 
 
 def sql_decoded(col: str) -> str:
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    """The references that the stored pages hold, ampersands last."""
+    for a, b in (("&nbsp;", "\u00a0"), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
         col = f"replace({col}, '{a}', '{b}')"
-    return col
+    return f"regexp_replace({col}, '&amp;?', '&', 'g')"
 
 
 def sql_trim(col: str) -> str:
@@ -75,8 +76,8 @@ FILENAME = (
 )
 COUNT = "((length({0}) - length(replace({0}, {1}, ''))) // length({1}))"
 LINKS = rf"""links AS (
-  SELECT page_id, (i - 1)::INT AS place, url AS src, hrefs[i] AS href, trim(regexp_replace(regexp_replace(anchors[i], '(?s)<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS anchor,
-    regexp_replace(hrefs[i], '#.*$', '') AS bare
+  SELECT page_id, (i - 1)::INT AS place, url AS src, hrefs[i] AS href, trim(regexp_replace({sql_decoded("regexp_replace(anchors[i], '(?s)<[^>]*>', '', 'g')")}, '\s+', ' ', 'g')) AS anchor,
+    regexp_replace(trim({sql_decoded("hrefs[i]")}), '#.*$', '') AS bare
   FROM (SELECT *, unnest(range(1, len(hrefs) + 1)) AS i FROM (SELECT page_id, url,
     regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS hrefs, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS anchors FROM pages))),
 resolved AS (SELECT page_id, place, src, anchor, CASE WHEN regexp_matches(bare, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN bare WHEN starts_with(bare, '//') THEN {SCHEME.format("src")} || ':' || bare
