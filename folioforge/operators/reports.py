@@ -61,10 +61,24 @@ def source_coverage(merged: DataFrame) -> DataFrame:
     return merged.where(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("fields"))
 
 
-def conflict_list(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, conflicts): each key's conflicting fields with all candidates, in order of field."""
-    rows = merged.where("conflict").groupBy(*keys).agg(F.array_sort(F.collect_list(F.concat(F.col("field"), F.lit(": "), F.col("candidates")))).alias("c"))
-    return rows.select(*keys, F.size("c").cast("long").alias("n"), F.array_join("c", " | ").alias("conflicts"))
+def conflict_list(merged: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """(keys, n, conflicts): each key's number of conflicting fields, and these with all candidates in order of field; with most, only the first so many are listed, by rank before they are collected."""
+    from pyspark.sql import Window
+
+    rows = merged.where("conflict").select(*keys, F.concat(F.col("field"), F.lit(": "), F.col("candidates")).alias("c"), "field")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("field")))
+    listed = F.collect_list(F.when(F.lit(True) if most is None else F.col("r") <= most, F.col("c")))
+    got = rows.groupBy(*keys).agg(F.sort_array(listed).alias("c"), F.count(F.lit(1)).alias("n"))
+    return got.select(*keys, "n", F.array_join("c", " | ").alias("conflicts"))
+
+
+def run_report(merged: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """(keys, known, total, percentage, conflict_count, conflicts, sources): a run's record for each key: completeness, the first conflicts, and how many fields each source gave."""
+    base = completeness(merged, keys)
+    sources = merged.where(F.col("source").isNotNull()).groupBy(*keys, "source").agg(F.count(F.lit(1)).alias("n"))
+    sources = sources.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n")))).alias("sources"))
+    got = base.join(conflict_list(merged, keys, most).withColumnRenamed("n", "conflict_count"), keys, "left").join(sources, keys, "left")
+    return got.select(*keys, "known", "total", "percentage", F.coalesce("conflict_count", F.lit(0)).alias("conflict_count"), F.coalesce("conflicts", F.lit("")).alias("conflicts"), "sources")
 
 
 def agreement(values: DataFrame, keys: list[str]) -> DataFrame:

@@ -105,3 +105,37 @@ def requirement_rows(found: DataFrame, keys: list[str], exclusions: DataFrame |
         return rows
     own = exclusions_text(exclusions, keys)
     return rows.union(own.select(*keys, F.lit("page_limit_exclusions"), F.lit("true"), "evidence", F.lit("submission_requirements"), F.lit("high")))
+
+
+def extractor_results(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, extractor, field, value, confidence) of every extractor for every text; what an extractor doesn't find has the value unknown."""
+    from folioforge.operators import classify
+
+    every = texts.select(*keys).distinct()
+    lit = F.lit
+    review = classify.review_class(texts, keys).select(*keys, lit("review").alias("extractor"), lit("review").alias("field"), F.col("label").alias("value"), "confidence")
+    pages = every.join(classify.page_limit(texts, keys), keys, "left").select(*keys, lit("pages"), lit("page_limit"), F.coalesce("main_limit", lit("unknown")), F.coalesce("confidence", lit("low")))
+    policies = classify.policy_class(texts, keys).select(*keys, lit("policies"), "policy", "label", "confidence")
+    s, g, t, m = (F.col(f"r.{x}") for x in ("submission", "logistics", "tracks", "statements"))
+    flag = lambda found: F.when(found, "true").otherwise("unknown")
+    text = lambda v: F.coalesce(v.cast("string"), lit("unknown"))
+    some = [
+        ("submission", "template", text(s["template"]), s["confidence"]), ("submission", "supplementary", text(s["supplementary"]), s["confidence"]), ("logistics", "formats", F.when(F.size(g["formats"]) > 0, F.array_join(g["formats"], ",")).otherwise("unknown"), g["confidence"]),
+        ("logistics", "aid", flag(g["aid"]), g["confidence"]), ("logistics", "workshops", flag(g["workshops"]), g["confidence"]), ("logistics", "delivery", text(g["delivery"]), g["confidence"]),
+        ("statements", "statements", F.when(F.size(m["types"]) > 0, F.array_join(m["types"], ",")).otherwise("unknown"), m["confidence"]), *[("tracks", name, flag(F.array_contains(t["names"], name)), t["confidence"]) for name in c.TRACKS],
+    ]
+    rest = requirements(texts, keys).select(*keys, F.explode(F.array(*[F.struct(lit(e).alias("extractor"), lit(f).alias("field"), v.alias("value"), q.alias("confidence")) for e, f, v, q in some])).alias("x")).select(*keys, "x.*")
+    return review.union(pages).union(policies).union(rest)
+
+
+def distributions(results: DataFrame, keys: list[str]) -> DataFrame:
+    """(extractor, level, field, value, confidence, n, known, texts): results of extractor_results() counted by value, by confidence, by field and in all, in one pass.
+
+    known counts rows with a known value, texts the texts with any such row of that group; level names what a row is counted by.
+    """
+    known = ~F.coalesce("value", F.lit("unknown")).isin("unknown", "", "not_mentioned")
+    rows = results.select("extractor", "field", "value", "confidence", known.alias("_known"), F.when(known, F.struct(*keys)).alias("_text"))
+    e, f, v, q = (F.col(x) for x in ("extractor", "field", "value", "confidence"))
+    counted = rows.groupingSets([[e, f, v], [e, q], [e, f], [e]], e, f, v, q).agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"), F.count_if("_known").alias("known"), F.count_distinct("_text").alias("texts"))
+    level = F.when(F.col("_set") == 1, "value").when(F.col("_set") == 6, "confidence").when(F.col("_set") == 3, "field").otherwise("extractor")
+    return counted.select("extractor", level.alias("level"), "field", "value", "confidence", "n", "known", "texts")

@@ -11,6 +11,7 @@ from folioforge.operators import feeds
 from folioforge.plans.rules import KEYS, merged, rules
 from folioforge.plans.views import POLICY, RULES
 from folioforge.sources.archive import homepages as unpivoted
+from folioforge.sources import feeds as feeds_of
 from folioforge.sources.tables import policy_text, table
 
 _WIDE = ["submission_deadline", "page_limit", "double_blind", "rebuttal_allowed", "conference_location"]
@@ -144,6 +145,27 @@ def _nested(spark: SparkSession, d: str) -> DataFrame:
     return lists.withColumn("confs", F.array_sort("confs", lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
 
 
+def _feed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(k, document): a document of the first feed for each order, some of them broken."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit('{"conference": "Conf'), (F.col("o_custkey") % 500).cast("string"), F.lit('"'))
+    rounds = F.concat(F.lit(', "timeline": [{"deadline": "'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('", "comment": "order '), k.cast("string"), F.lit('"}, {"abstract_deadline": "TBD", "pages": 9}]}'))
+    document = (
+        F.when(k % 11 == 0, "no json").when(k % 11 == 1, F.concat(name, F.lit("}"))).when(k % 11 == 2, F.concat(name, F.lit(', "year": "soon"}'))).when(k % 11 == 3, F.concat(F.lit("["), name, F.lit("}]")))
+        .otherwise(F.concat(name, F.lit(', "year": '), F.year("o_orderdate").cast("string"), rounds))
+    )
+    return table(spark, d, "orders").select(k.alias("k"), document.alias("document"))
+
+
+def feed_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The rounds of each conference's newest document of a year."""
+    return feeds_of.rounds(feeds_of.newest(feeds_of.accepted(_feed_documents(spark, d), feeds_of.FIRST), "k"))
+
+
+def feed_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return feeds_of.rejected(_feed_documents(spark, d), feeds_of.FIRST).select("k", "document", "reason")
+
+
 def explode_year_entry(spark: SparkSession, d: str) -> DataFrame:
     return feeds.year_entry(_nested(spark, d), F.lit(1996)).select("conf", "year", "place")
 
@@ -206,6 +228,16 @@ QUERIES = {
     "domain_issues": (domain_issues, "SELECT issue, count(*) AS n FROM (SELECT CASE p_partkey % 5 WHEN 0 THEN 'SCHEME' WHEN 1 THEN 'CHARACTERS' WHEN 2 THEN 'FORMAT' END AS issue FROM part) WHERE issue IS NOT NULL GROUP BY 1"),
     "discover_keys": (discover_keys, POLICY + " SELECT DISTINCT entity, year FROM policy"),
     "discover_years": (discover_years, POLICY + " SELECT DISTINCT year, year = (SELECT max(year) FROM policy) AS is_latest FROM policy"),
+    "feed_rounds": (
+        feed_rounds,
+        "WITH good AS (SELECT 'Conf' || (o_custkey % 500) AS conference, year(o_orderdate)::INT AS year, max(o_orderkey) AS k, arg_max(o_orderdate::DATE::VARCHAR, o_orderkey) AS deadline FROM orders WHERE o_orderkey % 11 > 3 GROUP BY 1, 2) "
+        "SELECT conference, year, 1::INT AS round, NULL::VARCHAR AS abstract_deadline, deadline, 'order ' || k AS comment FROM good UNION ALL SELECT conference, year, 2::INT, 'TBD', NULL, NULL FROM good",
+    ),
+    "feed_rejects": (
+        feed_rejects,
+        "WITH o AS (SELECT o_orderkey AS k, '{\"conference\": \"Conf' || (o_custkey % 500) || '\"' AS name FROM orders) SELECT k, CASE k % 11 WHEN 0 THEN 'no json' WHEN 1 THEN name || '}' WHEN 2 THEN name || ', \"year\": \"soon\"}' ELSE '[' || name || '}]' END AS document, "
+        "['no JSON', 'no year', 'wrong type', 'no object'][k % 11 + 1] AS reason FROM o WHERE k % 11 <= 3",
+    ),
     "explode_year_entry": (explode_year_entry, f"WITH {_NEST} SELECT conf, year, place FROM nested WHERE year = 1996 AND r = 1"),
     "feed_values": (
         feed_values,

@@ -9,6 +9,7 @@ from folioforge.functions.rules import is_known
 from folioforge.operators import reports as r
 from folioforge.plans.rules import KEYS, corpora, feed_rows, merged, rules
 from folioforge.plans.views import RULES, _values
+from folioforge.sources.shared import settle
 from folioforge.sources.tables import table
 
 _KEYWORDS = [("submission_deadline", ["deadline"]), ("page_limit", ["pages"]), ("double_blind", ["blind"]), ("notification_date", ["authors"]), ("has_tutorials", ["tutorial"])]
@@ -19,9 +20,13 @@ def keywords(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_KEYWORDS, "field string, keywords array<string>")
 
 
-def valued(spark: SparkSession, d: str) -> DataFrame:
+def _valued(own: DataFrame, fed: DataFrame) -> DataFrame:
     """(keys, field, source, value) of each source."""
-    return rules(spark, d).select(*KEYS, "field", F.lit("regex").alias("source"), "value").union(feed_rows(spark, d).select(*KEYS, "field", F.lit("feed").alias("source"), "value"))
+    return own.select(*KEYS, "field", F.lit("regex").alias("source"), "value").union(fed.select(*KEYS, "field", F.lit("feed").alias("source"), "value"))
+
+
+def valued(spark: SparkSession, d: str) -> DataFrame:
+    return _valued(rules(spark, d), feed_rows(spark, d))
 
 
 def completeness(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +90,14 @@ def value_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dashboard(spark: SparkSession, d: str) -> DataFrame:
-    return r.dashboard(coverage_by_field(spark, d), gap_analysis(spark, d), agreement(spark, d), value_issues(spark, d))
+    """Coverage, gaps, agreement and issues side by side, all from one settled table of rules."""
+    texts, own = settle(corpora(spark, d)), settle(rules(spark, d))
+    return r.dashboard(r.coverage_by_field(own), r.gaps(own, texts, KEYS, keywords(spark)), r.agreement(_valued(own, feed_rows(spark, d)), KEYS), r.value_issues(own, _AS_OF))
+
+
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    got = r.run_report(settle(merged(spark, d)), KEYS, most=2)
+    return got.withColumn("sources", F.array_join(F.transform(F.map_entries("sources"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
 
 
 def report_order(spark: SparkSession, d: str) -> DataFrame:
@@ -136,6 +148,13 @@ QUERIES = {
     "conflicts": (conflicts, RULES + " SELECT field, count(*) AS n FROM merged WHERE conflict GROUP BY 1"),
     "source_coverage": (source_coverage, RULES + " SELECT source, count(*) AS fields FROM merged WHERE source IS NOT NULL GROUP BY 1"),
     "conflict_list": (conflict_list, RULES + " SELECT entity, year, count(*) AS n, string_agg(field || ': ' || candidates, ' | ' ORDER BY field) AS conflicts FROM merged WHERE conflict GROUP BY 1, 2"),
+    "run_report": (
+        run_report,
+        RULES + ", c AS (SELECT entity, year, count(*) AS conflict_count, array_to_string(list(field || ': ' || candidates ORDER BY field)[1:2], ' | ') AS conflicts FROM merged WHERE conflict GROUP BY 1, 2), "
+        "s AS (SELECT entity, year, string_agg(source || '=' || n, ',' ORDER BY source) AS sources FROM (SELECT entity, year, source, count(*) AS n FROM merged WHERE source IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2) "
+        "SELECT entity, year, count(*) FILTER (WHERE value <> 'unknown') AS known, count(*) AS total, round_even(100 * count(*) FILTER (WHERE value <> 'unknown')::DECIMAL(18,6) / count(*), 1)::DOUBLE AS percentage, coalesce(any_value(conflict_count), 0) AS conflict_count, coalesce(any_value(conflicts), '') AS conflicts, any_value(sources) AS sources "
+        "FROM merged LEFT JOIN c USING (entity, year) LEFT JOIN s USING (entity, year) GROUP BY 1, 2",
+    ),
     "agreement": (agreement, RULES + _AGREE + " SELECT field, agree, disagree, percentage FROM agr"),
     "value_issues": (value_issues, RULES + _ISSUES + " SELECT field, issue, n FROM issues"),
     "dashboard": (

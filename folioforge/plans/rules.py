@@ -400,6 +400,31 @@ def requirement_rows(spark: SparkSession, d: str) -> DataFrame:
     return requirements.requirement_rows(requirements.requirements(texts, KEYS), KEYS, excluded)
 
 
+def extractor_distributions(spark: SparkSession, d: str) -> DataFrame:
+    return requirements.distributions(requirements.extractor_results(settle(_requirements(spark, d)), KEYS), KEYS)
+
+
+def _distributions_sql() -> str:
+    over = lambda sql: sql.replace("FROM corp", "FROM req").replace(" corp,", " req,").replace("corp USING", "req USING")
+    known = lambda v: f"coalesce({v}::VARCHAR, 'unknown')"
+    some = [
+        ("submission", "template", known("template"), "se", 1, 99), ("submission", "supplementary", known("supplementary"), "se", 1, 99), ("logistics", "formats", "CASE WHEN len(formats) > 0 THEN array_to_string(formats, ',') ELSE 'unknown' END", "ge", 1, 99),
+        ("logistics", "aid", "CASE WHEN aid THEN 'true' ELSE 'unknown' END", "ge", 1, 99), ("logistics", "workshops", "CASE WHEN workshops THEN 'true' ELSE 'unknown' END", "ge", 1, 99), ("logistics", "delivery", known("delivery"), "ge", 1, 99),
+        ("statements", "statements", "CASE WHEN len(types) > 0 THEN array_to_string(types, ',') ELSE 'unknown' END", "types", 1, 2), *[("tracks", t_, f"CASE WHEN list_contains(tracks, '{t_}') THEN 'true' ELSE 'unknown' END", "tracks", 1, 3) for t_ in cp.TRACKS],
+    ]
+    rest = " UNION ALL ".join(f"SELECT entity, year, '{e}', '{f}', {v}, CASE WHEN len({x}) >= {high} THEN 'high' WHEN len({x}) >= {least} THEN 'medium' ELSE 'low' END FROM rq JOIN ff USING (entity, year)" for e, f, v, x, least, high in some)
+    review = _review_sql("req", "entity, year").replace("rq AS", "rvq AS").replace("FROM rq", "FROM rvq")
+    return (
+        f"{_REQ}, {_requirements_sql()}, {over(_LIMITS).replace('pm AS', 'pgm AS').replace('FROM pm)', 'FROM pgm)').replace('pi AS', 'pgi AS').replace('FROM pi)', 'FROM pgi)').replace('pw AS', 'pgw AS').replace('FROM pw)', 'FROM pgw)')}, {over(_POLICY_SCORES)}, {review}, "
+        "sr AS (SELECT entity, year, list(score ORDER BY score DESC) AS s FROM rs GROUP BY 1, 2), "
+        "results(entity, year, extractor, field, value, confidence) AS (SELECT entity, year, 'review', 'review', coalesce(label, 'unknown'), CASE WHEN s[1] >= 3 THEN 'high' WHEN s[1] = 2 AND coalesce(s[2], 0) = 0 THEN 'medium' ELSE 'low' END FROM req LEFT JOIN rr USING (entity, year) LEFT JOIN sr USING (entity, year) "
+        "UNION ALL SELECT entity, year, 'pages', 'page_limit', coalesce(main_limit, 'unknown'), coalesce(confidence, 'low') FROM req LEFT JOIN pl USING (entity, year) UNION ALL SELECT entity, year, 'policies', policy, label, confidence FROM pc "
+        f"UNION ALL {rest}), marked AS (SELECT *, value NOT IN ('unknown', '', 'not_mentioned') AS known FROM results) "
+        "SELECT extractor, CASE grouping_id(extractor, field, value, confidence) WHEN 1 THEN 'value' WHEN 6 THEN 'confidence' WHEN 3 THEN 'field' ELSE 'extractor' END AS level, field, value, confidence, count(*) AS n, count(*) FILTER (WHERE known) AS known, count(DISTINCT CASE WHEN known THEN entity || '/' || year END) AS texts "
+        "FROM marked GROUP BY GROUPING SETS ((extractor, field, value), (extractor, confidence), (extractor, field), (extractor))"
+    )
+
+
 def _requirements_sql() -> str:
     """fh: each group's first hit with its window; rq: the typed row of each text."""
     window = requirements._windows()
@@ -576,6 +601,7 @@ QUERIES = {
         f"array_to_string(ge[1:2], '; ') AS logistics_evidence, CASE WHEN len(ge) > 0 THEN 'medium' ELSE 'low' END AS logistics_confidence, array_to_string(tracks, ',') AS tracks, {_CONFIDENT.format('tracks', 3)} AS tracks_confidence, array_to_string(types, ',') AS statements, {_CONFIDENT.format('types', 2)} AS statements_confidence FROM rq JOIN ff USING (entity, year)",
     ),
     "requirement_rows": (requirement_rows, _requirement_rows_sql()),
+    "extractor_distributions": (extractor_distributions, _distributions_sql()),
     "legacy_rows": (legacy_rows, RULES + f", {_LEGACY} SELECT entity, year, field, value FROM legacy"),
     "batch_pack": (
         batch_pack,

@@ -79,6 +79,20 @@ def write_json(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").json(folder)
 
 
+def write_json_array(rows: DataFrame, order: list[str], folder: str) -> None:
+    """Rows as one JSON array, by order (whose values are unique), in text files that make it up one behind the other.
+
+    Each task writes its own stretch; a comma stands before every row but the first, which a minimum finds, so nothing is gathered.
+    """
+    key = F.struct(*[F.col(c) for c in order])
+    first = rows.agg(F.min(key).alias("_first"))
+    body = rows.select(F.lit(1).alias("_part"), key.alias("_key"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("_json")).crossJoin(F.broadcast(first))
+    lines = body.select("_part", "_key", F.concat(F.when(F.col("_key") == F.col("_first"), "").otherwise(","), "_json").alias("_line"))
+    none = F.lit(None).cast(rows.select(key.alias("k")).schema["k"].dataType)
+    ends = rows.sparkSession.createDataFrame([(0, "["), (2, "]")], "_part int, _line string").select("_part", none.alias("_key"), "_line")
+    lines.union(ends).orderBy("_part", "_key").select(F.col("_line").alias("value")).write.mode("overwrite").text(folder)
+
+
 def append_snapshots(pages: DataFrame, folder: str) -> None:
     """Fetched pages are appended with their time; fresh_snapshots() gives the newest."""
     pages.write.mode("append").parquet(folder)

@@ -66,3 +66,25 @@ def test_json_reports_and_snapshots(spark, tmp_path):
 def test_system_of_a_timeline(spark):
     rows = spark.createDataFrame([([("x", "via EasyChair and CMT"), ("y", "OpenReview")],), ([("x", "")],)], "timeline array<struct<deadline: string, comment: string>>")
     assert [r[0] for r in rows.select(system_of(F.col("timeline"))).collect()] == ["EasyChair", None]
+
+
+def test_reports_are_one_json_array(spark, tmp_path):
+    """Files in their order make up one array, whatever the number of tasks; an empty table makes an empty one."""
+    rows = spark.range(500).repartition(7).selectExpr("id as k", "concat('\"q\" ', id) as text", "if(id % 3 = 0, null, id) as n")
+    for df, want in ((rows, [{"k": k, "text": f'"q" {k}', "n": None if k % 3 == 0 else k} for k in range(500)]), (rows.where("k < 0"), [])):
+        folder = tmp_path / f"array{len(want)}"
+        archive.write_json_array(df, ["k"], str(folder))
+        whole = "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+        assert json.loads(whole) == want
+
+
+def test_capped_conflicts_of_a_run(spark):
+    from folioforge.operators.reports import conflict_list, run_report
+
+    rows = [("a", f"f{k}", "v", "feed" if k % 2 else "regex", k < 4, f"x={k}") for k in range(6)] + [("b", "f0", "unknown", None, False, "")]
+    merged = spark.createDataFrame(rows, "entity string, field string, value string, source string, conflict boolean, candidates string")
+    assert [tuple(r) for r in conflict_list(merged, ["entity"], 2).collect()] == [("a", 4, "f0: x=0 | f1: x=1")]
+    assert conflict_list(merged, ["entity"]).first()["conflicts"].count("|") == 3
+    got = {r["entity"]: r.asDict() for r in run_report(merged, ["entity"]).collect()}
+    assert got["a"]["sources"] == {"feed": 3, "regex": 3} and got["a"]["conflict_count"] == 4 and got["a"]["percentage"] == 100.0
+    assert got["b"]["sources"] is None and got["b"]["conflicts"] == "" and got["b"]["known"] == 0
