@@ -48,8 +48,8 @@ def typed(spark: SparkSession, d: str) -> DataFrame:
 
 def rules(spark: SparkSession, d: str) -> DataFrame:
     """A row for every key and field."""
-    keys = policy_text(spark, d).select(*KEYS).distinct()
-    got = merge.default_fill(settle(typed(spark, d)), keys, fields_table(spark))
+    texts = settle(corpora(spark, d))
+    got = merge.default_fill(settle(typed_of(texts, fields_table(spark), patterns_table(spark))), texts.select(*KEYS), fields_table(spark))
     kinds = scan.small(fields_table(spark).select("field", "type"))
     return got.join(kinds, "field").select(*KEYS, "field", "category", "type", "priority", "value", F.coalesce("match", F.lit("")).alias("evidence"))
 
