@@ -54,3 +54,14 @@ def test_the_cut_behind_the_last_end_loses_no_match(spark):
 def test_each_match_holds_all_literals():
     assert regex.literals(r"authors?\s+may\s+submit(?:.*?)(?:to\s+)?other\s+venues") == ["author", "submit", "venues", "other", "may"]
     assert regex.literals(r"(?:one|two)\s+(\d+)") == [] and regex.literals(r"a\s+b") == ["a"]
+
+
+def test_rules_take_negations_without_texts(spark):
+    """A boolean's words are sought in its own text, which no join carries along."""
+    from folioforge.functions.patterns import fields_table, patterns_table
+    from folioforge.plans.rules import typed_of
+
+    rows = [("A", 2000, "No rebuttals this year. Authors may submit a rebuttal."), ("B", 2000, "Authors may submit a rebuttal."), ("C", 2000, None)]
+    got = typed_of(spark.createDataFrame(rows, "entity string, year int, text string"), fields_table(spark), patterns_table(spark))
+    values = {(r["entity"], r["field"]): r["value"] for r in got.collect()}
+    assert values["A", "rebuttal_allowed"] == "false" and values["B", "rebuttal_allowed"] == "true" and not any(k == "C" for k, _ in values)
