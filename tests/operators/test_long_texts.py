@@ -65,3 +65,11 @@ def test_rules_take_negations_without_texts(spark):
     got = typed_of(spark.createDataFrame(rows, "entity string, year int, text string"), fields_table(spark), patterns_table(spark))
     values = {(r["entity"], r["field"]): r["value"] for r in got.collect()}
     assert values["A", "rebuttal_allowed"] == "false" and values["B", "rebuttal_allowed"] == "true" and not any(k == "C" for k, _ in values)
+
+
+def test_normal_forms_come_in_batches_of_bounded_size(spark, tmp_path):
+    from folioforge.plans.rules import clean_feed_nfkc
+
+    spark.createDataFrame([(1, "\u2460 x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert clean_feed_nfkc(spark, str(tmp_path)).first()["text"] == "fi1 x"
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
