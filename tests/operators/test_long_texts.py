@@ -73,3 +73,30 @@ def test_normal_forms_come_in_batches_of_bounded_size(spark, tmp_path):
     spark.createDataFrame([(1, "\u2460 x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert clean_feed_nfkc(spark, str(tmp_path)).first()["text"] == "fi1 x"
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
+
+
+def test_patterns_look_at_the_first_sign_and_match_as_before(spark):
+    """A choice at a pattern's beginning isn't tried at each place of a text; what matches stays what Python's dialect says."""
+    assert regex.java_of_folded(r"(?:papers?|a\s+b)x") == r"(?dmU)(?=[pa])(?:papers?|a[\s\x1c-\x1f]+b)x" and regex.java_of_folded(r"a(?:b|c)").startswith("(?dmU)a")
+    assert not any("?=" in regex.java_of_folded(rx) for rx in (r"(?:a)?", r"\b", r"[^a]b", r".a", r"(?:a|)b*"))
+    rng = random.Random(5)
+    patterns = [r"(?:a|bc)+x", r"\b(?:ab|c)\b", r"(?:a\s+)?b", r"[A-Ck]\s*x", r"\s*x", r"(?:\d|x)+a", r"^(?:a|b)", r"(?!ab)(?:a|c).", r"(?:a?|b)c", r"(?<=a)(?:b|c)"]
+    texts = ["".join(rng.choice("aAbBcCkKxX 1\n\u212a\u0130") for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "k int, text string").select("k", regex.folded(F.col("text")).alias("low"))
+    for rx in patterns:
+        for r in rows.select("k", "low", F.regexp_extract_all("low", F.lit(regex.java_of_folded(rx)), F.lit(0)).alias("m")).collect():
+            assert r["m"] == [m.group(0) for m in re.finditer(rx, r["low"], re.I | re.M)], (rx, r["low"])
+
+
+def test_negations_go_through_a_long_text_once_a_word(spark):
+    from folioforge.functions import text as t
+
+    # on one text of 24 MB, each further time that it is made small again counts
+    rows = spark.createDataFrame([(1, "No chairs. ")], "k int, text string").withColumn("text", F.concat(F.repeat("text", F.lit(4)), F.repeat(F.lit("Ordinary words of a page. "), F.lit(900_000)), F.lit("chairs")))
+    words = [f"word {k}" for k in range(40)] + ["chairs"]
+    begin = time.time()
+    got = rows.select(t.let(F.lower("text"), lambda low: F.transform(F.array(*map(F.lit, words)), lambda w: t.negated_low(low, w))).alias("d")).first()["d"]
+    assert time.time() - begin < 12
+    assert got == [False] * 40 + [True]
+    few = spark.createDataFrame([("NO Papers",), ("papers, not now",), ("x" * 60 + "papers",), ("",), (None,)], "text string")
+    assert [r[0] for r in few.select(t.negated(F.col("text"), "Papers")).collect()] == [True, False, False, False, None]
