@@ -17,9 +17,8 @@ links. From these a host's main slots follow:
 Main text of a page are its texts in the main slots; if it has none there, its other texts outside of the elements named above.
 
 Defined cases: null is empty; a page without a host shares the wrapper of the pages without one; broken or unclosed markup is read
-as far as it goes, in time linear in the page; streams of more than LONGEST tokens shape no wrapper, but are matched with their host's
-like all others; where a host has no shorter ones, the texts outside of the elements named above are main text; ties between streams go by their text; rows repeat as they come; an empty table gives no rows; other
-columns are ignored.
+as far as it goes, in time linear in the page; streams of any length shape their host's wrapper; ties between streams go by their
+text; rows repeat as they come; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,11 +37,11 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import settle, sliced, slim_batches
 
 MIN_PAGES, REGION = 4, 0.3
-#: Streams that one task aligns into a wrapper at once; the longest stream that shapes one; the longest group that folds.
+#: Streams that one task aligns into a wrapper at once, fewer (but two at least) if they have more tokens than this on average; the longest group that folds.
 STREAMS, LONGEST, GROUP = 64, 4096, 6
 #: Bytes of wrappers that may be broadcast; beyond it pages are joined to them by host.
 MOST_BYTES = 32 << 20
-#: Products of two streams' lengths from which whole rows are compared at once, with the same result.
+#: Products of two streams' lengths from which runs are ranked instead of compared one by one, with the same result.
 AT_ONCE = 1 << 19
 #: Streams of which a task remembers the match.
 MEMORY = 20_000
@@ -196,13 +195,13 @@ def bare(token: str) -> str:
 def aligned(wrapper: list[str], stream: list[str]) -> list[str]:
     """The wrapper that takes the stream too: tokens of one side only become optional, repeats of either side stay."""
     marks = lambda *ts: "".join(m for m in "+?" if any(m in t[len(bare(t)) :] for t in ts))
+    optional = lambda ts: [bare(t) + marks(t, "?") if "?" not in t[len(bare(t)) :] else t for t in ts]
     out: list[str] = []
-    for op, a, b, c, d in SequenceMatcher(None, [bare(t) for t in wrapper], [bare(t) for t in stream], autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [bare(x) + marks(x, y) for x, y in zip(wrapper[a:b], stream[c:d])]
-        else:
-            out += [bare(x) + marks(x, "?") if "?" not in x[len(bare(x)) :] else x for x in wrapper[a:b]]
-            out += [bare(y) + marks(y, "?") if "?" not in y[len(bare(y)) :] else y for y in stream[c:d]]
+    i = j = 0
+    for a, b, size in [*matching_blocks([bare(t) for t in wrapper], [bare(t) for t in stream]), (len(wrapper), len(stream), 0)]:
+        out += optional(wrapper[i:a]) + optional(stream[j:b])
+        i, j = a + size, b + size
+        out += [bare(x) + marks(x, y) for x, y in zip(wrapper[a:i], stream[b:j])]
     return folded_optional(out)
 
 
@@ -221,15 +220,16 @@ def folded_optional(tokens: list[str]) -> list[str]:
 def matching_blocks(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
     """Blocks (place in a, place in b, size) that two streams share: the longest one, the first of equals, then those on either side of it.
 
-    Long streams are compared row by row at once, so that the time is that of a few products of their lengths.
+    Long streams are compared by the ranks of their runs, so that the time of each block is about that of sorting them.
     """
-    if len(a) * len(b) < AT_ONCE:
-        return [tuple(x) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size]
     numbers = {t: i for i, t in enumerate(dict.fromkeys(a))}
-    x, y = np.array([numbers[t] for t in a], np.int32), np.array([numbers.get(t, -1) for t in b], np.int32)
+    x, y = np.array([numbers[t] for t in a], np.int64), np.array([numbers.get(t, len(numbers)) for t in b], np.int64)
     todo, out = [(0, len(a), 0, len(b))], []
     while todo:
         alo, ahi, blo, bhi = todo.pop()
+        if (ahi - alo) * (bhi - blo) < AT_ONCE:
+            out += [(alo + m.a, blo + m.b, m.size) for m in SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).get_matching_blocks() if m.size]
+            continue
         i, j, size = _longest(x[alo:ahi], y[blo:bhi])
         if size:
             i, j = i + alo, j + blo
@@ -239,17 +239,32 @@ def matching_blocks(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
 
 
 def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """The longest run that a and b share: where it begins in either, and its length; the first in a, then in b, of equals."""
-    best = (0, 0, 0)
-    runs = np.zeros(len(b) + 1, np.int32)  # of each place in b, the run that ends there and at the row of a before
-    for i, token in enumerate(a):
-        own = np.zeros(len(b) + 1, np.int32)
-        np.multiply(runs[:-1] + 1, b == token, out=own[1:])
-        runs = own
-        end = int(runs.argmax())
-        if runs[end] > best[2]:
-            best = (i - int(runs[end]) + 1, end - int(runs[end]), int(runs[end]))
-    return best
+    """The longest run that a and b share: where it begins in either, and its length; the first in a, then in b, of equals.
+
+    Runs of a length that doubles get ranks, equal for equal runs; a length between is two such runs that overlap.
+    """
+
+    def runs(size: int) -> tuple[np.ndarray, np.ndarray]:
+        """A key for each run of size tokens in a and in b, from the ranks of runs of size half."""
+        return tuple(r[: max(0, len(r) - (size - half))] * top + r[size - half :] for r in (x, y))
+
+    half, x, y = 1, a, b
+    if not np.isin(x, y).any():
+        return 0, 0, 0
+    while True:
+        top = max(int(x.max()), int(y.max())) + 1
+        p, q = runs(2 * half)
+        if not np.isin(p, q).any():
+            break
+        ranks = np.unique(np.concatenate([p, q]), return_inverse=True)[1].astype(np.int64)
+        half, x, y = 2 * half, ranks[: len(p)], ranks[len(p) :]
+    low, high = half, 2 * half  # shared, not shared
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if np.isin(*runs(middle)).any() else (low, middle)
+    p, q = runs(low)
+    i = int(np.isin(p, q).argmax())
+    return i, int((q == p[i]).argmax()), low
 
 
 class Wrapper:
@@ -355,12 +370,15 @@ def infer(pages: DataFrame) -> DataFrame:
             wrapper = stream.split(" ") if wrapper is None else aligned(wrapper, stream.split(" "))
         return pd.DataFrame({"host": own["host"].iloc[:1].tolist(), "stream": [" ".join(wrapper or [])], "n": [int(own["n"].sum())]})
 
-    whole = streams.where(F.size(F.split("stream", " ")) <= LONGEST)
+    whole = streams
+    tokens = F.length("stream") - F.length(F.replace("stream", F.lit(" "))) + 1
+    # Long streams go to more tasks, though in two to one at least, so that each round leaves fewer.
+    buckets = F.least(F.ceil(F.col("k") / 2), F.greatest(F.ceil(F.col("k") / STREAMS), F.ceil(F.col("tokens") / (STREAMS * LONGEST))))
     while True:
-        sizes = settle(whole.groupBy("host").agg(F.count(F.lit(1)).alias("k")))
+        sizes = settle(whole.groupBy("host").agg(F.count(F.lit(1)).alias("k"), F.sum(tokens).alias("tokens")))
         if sizes.where("k > 1").isEmpty():
             break
-        dealt = whole.join(sizes, "host").withColumn("bucket", F.pmod(F.xxhash64("stream"), F.ceil(F.col("k") / STREAMS)))
+        dealt = whole.join(sizes.select("host", buckets.alias("buckets")), "host").withColumn("bucket", F.pmod(F.xxhash64("stream"), F.col("buckets")))
         whole = settle(dealt.groupBy("host", "bucket").applyInPandas(align, "host string, stream string, n long"))
     wrappers = whole.select("host", F.col("stream").alias("wrapper"))
 

@@ -46,3 +46,23 @@ def test_blocks_of_long_streams_are_those_of_short_ones(monkeypatch):
         plain = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
         pairs = lambda blocks: [(i + k, j + k) for i, j, n in blocks for k in range(n)]
         assert pairs(wrappers.matching_blocks(a, b)) == pairs(plain)
+
+
+def test_host_of_long_pages_alone_has_a_wrapper(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for number in range(6):
+        html, texts = mixed(rng, number, 3_000)
+        rows.append((number, f"http://all-long.example.org/{number}", page(number, html)))
+        want[number] = "\n".join([f"Story {number}", *texts])
+        assert len(wrappers.folded(wrappers.read(rows[-1][2])[0])[0]) > wrappers.LONGEST
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_alignment_is_that_of_compared_streams(monkeypatch):
+    rng = random.Random(5)
+    cases = [([rng.choice(["a", "b+", "c?", "d", "#", "e+?"]) for _ in range(rng.randint(0, 60))], [rng.choice("abcd#e") for _ in range(rng.randint(0, 60))]) for _ in range(200)]
+    plain = [wrappers.aligned(a, b) for a, b in cases]
+    monkeypatch.setattr(wrappers, "AT_ONCE", 0)
+    assert [wrappers.aligned(a, b) for a, b in cases] == plain
