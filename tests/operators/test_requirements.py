@@ -1,5 +1,6 @@
 """Requirements of small texts, with the signs around their matches."""
 
+from folioforge.operators.classify import presentation_formats
 from folioforge.operators.requirements import exclusions_text, requirement_rows, requirements
 
 TEXTS = [
@@ -44,3 +45,12 @@ def test_sentences_of_exclusions(spark):
     rows = [(0, k, "unlimited") for k in ("appendices", "references", "acknowledgments")]
     got = exclusions_text(spark.createDataFrame(rows, "k int, kind string, pages string"), ["k"]).first()["evidence"]
     assert got.endswith("do not count toward page limit") and got.count(",") == 2 and ", and " in got
+
+
+def test_formats_of_presentation(spark):
+    rows = [
+        (1, "ORAL presentations; later Presented as posters."), (2, "In-person presentations only."), (3, None), (4, ""), (5, "Nothing of note on oral exams."),
+        (6, "Papers are presented virtually."), (6, "Demo\npresentation"), (7, "virtual presentations, demo presentations, poster presentations and oral presentations"),
+    ]
+    got = presentation_formats(spark.createDataFrame(rows, "k int, text string"), ["k"]).collect()
+    assert sorted(map(tuple, got)) == [(1, "oral,poster"), (2, ""), (6, "demo,virtual"), (7, "oral,poster,demo,virtual")]
