@@ -24,7 +24,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     one node, of which one row stays.
     """
     keyed = docs.withColumn("_key", row_key())
-    nodes = ngram_join.ngram_join(keyed.select(F.col("_key").alias("doc_id"), "text"), size=5, percent=80).groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_group"), F.count(F.lit(1)).alias("_rows"))
+    nodes = ngram_join.ngram_components(keyed.select(F.col("_key").alias("doc_id"), "text"), size=5, percent=80).groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_group"), F.count(F.lit(1)).alias("_rows"))
     ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("_id"))
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key", "_rows")).alias("first")
     kept = settle(nodes.join(ids, "_key").groupBy("_group").agg(first).select("first._key", "first._rows"))
